@@ -120,12 +120,13 @@ def unsorted_places(group: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False]))) if len(group) else np.zeros(0, np.int64)
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int, lanes: int = 4096) -> np.ndarray:
     """Kasai's common prefix of each suffix with the one before it in order, up to ``most`` bytes.
 
     The text is cut into lanes that run Kasai's scan side by side: a suffix shares at least one
     byte less with its neighbour than its predecessor in the text did, so each step of a lane
-    either compares one more byte or moves on.
+    either compares one more byte or moves on.  Suffixes that the array left in one group (equal
+    ``rank``) share ``most`` bytes and more; as their order is open, nothing follows for the next.
     """
     n = len(data)
     if n < 2:
@@ -141,11 +142,12 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, most: int, lanes: int =
     while len(i):
         j = before[i]
         far = np.maximum(i, j) + h
-        more = (j >= 0) & (h < most) & (far < n)
+        tied = (j >= 0) & (rank[i] == rank[j])
+        more = ~tied & (j >= 0) & (h < most) & (far < n)
         more &= padded[i + h] == padded[j + h]
         out = ~more
-        known[i[out]] = h[out]
-        h = np.where(more, h + 1, np.maximum(h - 1, 0))
+        known[i[out]] = np.where(tied, most, h)[out]
+        h = np.where(more, h + 1, np.where(tied, 0, np.maximum(h - 1, 0)))
         i = i + out
         ended = i >= stop
         if ended.any():
@@ -162,8 +164,8 @@ def repeated_starts(runs: list[bytes], windows: list[int], many: list[bool], len
     data = np.frombuffer(b"".join(runs), np.uint8)
     offsets = np.concatenate(([0], np.cumsum(sizes)))
     # a separator isn't needed: a window lies inside its run by construction
-    order, _ = suffix_array(data, length)
-    lcp = common_prefixes(data, order, length)
+    order, rank = suffix_array(data, length)
+    lcp = common_prefixes(data, order, rank, length)
     start = np.zeros(len(data), bool)
     plenty = np.zeros(len(data), bool)
     for o, w, m in zip(offsets[:-1].tolist(), windows, many, strict=True):

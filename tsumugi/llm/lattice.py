@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tsumugi.llm.common import BLANK_WORDS, byte_words, chunked, drop_path, expand, small_batches, squeeze, total_bytes, unpack_rows, written
 
-CHUNK_BYTES, RANGE_BYTES = 12 << 20, 8 << 20
+CHUNK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 MARK = "▁".encode()
 WHOLE, SMOOTH = 0.9, 0.1
 #: Words whose lattices are computed together.

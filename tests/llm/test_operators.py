@@ -172,6 +172,31 @@ def test_jaccard_frequent_tokens(spark, monkeypatch):
         assert len(rows) == len(texts)
 
 
+@pytest.mark.parametrize("dense", [0, 2, 10**6])
+def test_jaccard_blocks(spark, monkeypatch, dense):
+    """Groups dealt over several blocks: links are those of all pairs between components."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    base = rng.integers(0, 2**63, 40).astype(np.uint64)
+    rows, lists = [], []
+    for i in range(60):
+        own = base.copy()
+        own[rng.integers(0, 40, rng.integers(0, 9))] = rng.integers(0, 50, 1)
+        own = np.unique(own)
+        rows.append((i, len(own), own.astype("<u8").tobytes()))
+        lists.append((7, i, len(own), 1, min(i // 2, 9)))
+    sets = {k: (n, np.frombuffer(h, "<u8")) for k, n, h in rows}
+    comp = {x[1]: x[4] for x in lists}
+    held = spark.createDataFrame(rows, "set_key long, n long, hashes binary")
+    got = jaccard.linked_blocks(spark.createDataFrame(lists, "token long, set_key long, n long, role int, c long"), held, jaccard.sketched(held)).collect()
+    link = lambda a, b: jaccard.linked(sets[a][1], sets[a][0], sets[b][1], sets[b][0])
+    assert all(link(r["a"], r["b"]) for r in got)
+    pair = lambda a, b: (min(comp[a], comp[b]), max(comp[a], comp[b]))
+    want = {pair(a, b) for a in sets for b in sets if comp[a] < comp[b] and link(a, b)}
+    assert {pair(r["a"], r["b"]) for r in got} == want and want
+
+
 def test_one_of_each(spark):
     texts = edge_texts(spark)
     kept = sorted(r["doc_id"] for r in jaccard.one_of_each(docs_of(spark, texts)).collect())

@@ -12,10 +12,12 @@ intersection is at least ``PERCENT`` percent of the union; the result is exact.
     shared one is frequent, all shared ones are, so the frequent shingles of the prefix extended
     by ``k = 2`` are indexed in pairs; a set with more than ``COMBINED`` of them indexes them
     singly, and then the others' single ones only probe for such sets.
-3.  Each list's first set is compared with the others (dense groups connect so), then all pairs
-    of a list that are still in different components are compared.  Comparisons are exact.
+3.  Each list's first set is compared with the others (dense groups connect so); what lists still
+    hold of different components is compared in blocks.  Comparisons are exact.
 4.  Components of the verified links are found on set keys; equal sets are one from the start.
 
+Shingles and sets are known by 64-bit hashes throughout.
+
 Defined results: null, empty and blank texts have no shingles and link with nothing, not even
 with each other, so their component is their own id; texts of fewer words have one shingle;
 repeated rows and equal sets are one component; rows with a null id take part, but a component's
@@ -38,7 +40,12 @@ from tsumugi.llm.urls import components
 
 WORDS, PERCENT = 5, 75
 RARE, COMBINED = 64, 40
-CHUNK_BYTES, RANGE_BYTES = 12 << 20, 8 << 20
+#: Sets of a block, and shingles counted at once.
+BLOCK, COLUMNS = 256, 4096
+#: From so many pairs a set on, a block pair is compared as a whole.
+DENSE = 2
+LIKELY = pa.schema([("block", pa.string()), ("block2", pa.string()), ("side", pa.int32()), ("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
+CHUNK_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
 PAIR_SALT, SINGLE_SALT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,13 +91,13 @@ def chunk_sets(payload: bytes):
     texts = [(x or "").encode() for x in rows.column("body").to_pylist()]
     distinct = list(dict.fromkeys(texts))
     sets = shingle_sets(distinct)
-    place: dict[bytes, int] = {}
+    place: dict[int, int] = {}
     kept, of_text = [], {}
     for t, s in zip(distinct, sets, strict=True):
         if not len(s):
             of_text[t] = -1
             continue
-        key = xxhash.xxh3_128_digest(s.tobytes())
+        key = xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
         if key not in place:
             place[key] = len(kept)
             kept.append(s)
@@ -197,14 +204,14 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
                     at += len(s)
                     shared = c > 0
                     if shared.sum() >= least_overlap(len(s)):
-                        own.append((k.hex(), len(s), s[shared].astype("<u8").tobytes(), c[shared].tobytes()))
+                        own.append((k, len(s), s[shared].astype("<u8").tobytes(), c[shared].tobytes()))
                 n = rows.num_rows
                 names = ["kind", "key", "n", "set_key", "hashes", "classes"]
-                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), rows.column("key").combine_chunks(), pa.array([len(sets[i]) if i >= 0 else 0 for i in of_row], pa.int64()), pa.array([keys[i].hex() if i >= 0 else None for i in of_row], pa.string()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), rows.column("key").combine_chunks(), pa.array([len(sets[i]) if i >= 0 else 0 for i in of_row], pa.int64()), pa.array([keys[i] if i >= 0 else None for i in of_row], pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=names)
                 n = len(own)
-                yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, rows.column("key").type), pa.array([o[1] for o in own], pa.int64()), pa.array([o[0] for o in own], pa.string()), pa.array([o[2] for o in own], pa.binary()), pa.array([o[3] for o in own], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, rows.column("key").type), pa.array([o[1] for o in own], pa.int64()), pa.array([o[0] for o in own], pa.int64()), pa.array([o[2] for o in own], pa.binary()), pa.array([o[3] for o in own], pa.binary())], names=names)
 
-    found, _ = written(both.mapInArrow(survivors, f"kind int, key {kind}, n long, set_key string, hashes binary, classes binary"), "jaccard-sets")
+    found, _ = written(both.mapInArrow(survivors, f"kind int, key {kind}, n long, set_key long, hashes binary, classes binary"), "jaccard-sets")
     drop_path(spark, chunk_path)
     rows = found.filter("kind = 0").select("key", "n", "set_key")
     # a set of several chunks is the same in each, classes included
@@ -220,23 +227,24 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
                     sizes += [n] * len(t)
                     roles += [role] * len(t)
             if owners:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(owners, pa.string()), pa.array(sizes, pa.int64()), pa.array(roles, pa.int32())], names=["token", "set_key", "n", "role"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(owners, pa.int64()), pa.array(sizes, pa.int64()), pa.array(roles, pa.int32())], names=["token", "set_key", "n", "role"])
 
-    posted, posted_path = written(sets.mapInArrow(entries, "token long, set_key string, n long, role int").distinct(), "jaccard-lists")
+    posted, posted_path = written(sets.mapInArrow(entries, "token long, set_key long, n long, role int").distinct(), "jaccard-lists")
     lists = posted.groupBy("token").agg(F.min(F.when(F.col("role") == 1, F.col("set_key"))).alias("lead"), F.max("set_key").alias("top"), F.min("set_key").alias("low")).filter("lead is not null and top <> low").select("token", "lead")
     sizes = posted.select("set_key", "n").distinct()
     led = posted.join(lists, "token").filter("set_key <> lead").select("lead", "set_key", "n").distinct()
     led = led.join(sizes.select(F.col("set_key").alias("lead"), F.col("n").alias("m")), "lead").filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT).select(F.col("lead").alias("a"), F.col("set_key").alias("b"))
-    single = sets.dropDuplicates(["set_key"]).select("set_key", "n", "hashes")
+    single, _ = written(sets.select("set_key", "n", "hashes").dropDuplicates(["set_key"]), "jaccard-distinct")
+    sketches, _ = written(sketched(single), "jaccard-sketches")
+    led, _ = written(not_ruled_out(led, sketches), "jaccard-likely")
     first, _ = written(verified(led, single), "jaccard-links")
     groups = components(first, src="a", dst="b")
-    named = posted.join(groups, posted.set_key == groups.node, "left").select("token", "set_key", "n", "role", F.coalesce("component", "set_key").alias("c"))
+    # lists without a role 1 pair nothing
+    named = posted.join(lists, "token").join(groups, posted.set_key == groups.node, "left").select("token", "set_key", "n", "role", F.coalesce("component", "set_key").alias("c"))
     open_ = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
     rest, _ = written(named.join(open_, "token", "left_semi"), "jaccard-open")
-    other = rest.select("token", F.col("set_key").alias("b"), F.col("n").alias("m"), F.col("role").alias("role2"), F.col("c").alias("c2"))
-    apart = (F.col("c") < F.col("c2")) & (F.col("role") + F.col("role2") > 0) & (F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT)
-    across = rest.join(other, "token").filter(apart).select(F.col("set_key").alias("a"), "b").distinct()
-    second, _ = written(verified(across, single), "jaccard-links")
+    across = linked_blocks(rest, single, sketches)
+    second, _ = written(across, "jaccard-links")
     drop_path(spark, posted_path)
     groups = components(first.unionByName(second), src="a", dst="b") if not second.isEmpty() else groups
     groups, _ = written(groups, "jaccard-groups")
@@ -247,6 +255,166 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("g").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def linked_blocks(lists: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (a, b) between sets of different components ``c`` that share a list.
+
+    Sets that lists connect form groups, dealt over blocks of about ``BLOCK`` sets: a large
+    component has blocks of its own, sets with the same first neighbour stay together.  Two blocks
+    that share a list and hold several components are compared at once: first by bitmaps, which
+    bound what two sets can share; then the few pairs left are compared one by one, or, where
+    many are left, the blocks' sets together, by counting shared shingles.
+    """
+    ends = lists.groupBy("token").agg(F.min("set_key").alias("lead"))
+    stars = lists.join(ends, "token").select(F.col("lead").alias("a"), F.col("set_key").alias("b")).distinct()
+    stars, _ = written(stars, "jaccard-stars")
+    groups = components(stars, src="a", dst="b").select(F.col("node").alias("set_key"), F.col("component").alias("k"))
+    near = stars.groupBy(F.col("b").alias("set_key")).agg(F.min("a").alias("lead"))
+    own = lists.select("set_key", "c").distinct().join(groups, "set_key").join(near, "set_key")
+    sizes = own.groupBy("k", "c").agg(F.count(F.lit(1)).alias("size"))
+    small = F.col("size") < BLOCK // 2
+    pools = sizes.groupBy("k").agg(F.ceil(F.sum(F.when(small, F.col("size")).otherwise(0)) / BLOCK).cast("int").alias("pools"))
+    placed = own.join(sizes, ["k", "c"]).join(pools, "k")
+    pool = F.concat(F.col("k").cast("string"), F.lit(" "), F.pmod(F.xxhash64("lead"), F.greatest(F.lit(1), "pools")).cast("string"))
+    part = F.concat(F.col("k").cast("string"), F.lit(" "), F.col("c").cast("string"), F.lit(" "), F.pmod(F.xxhash64("set_key"), F.ceil(F.col("size") / BLOCK)).cast("string"))
+    placed, _ = written(placed.select("c", "set_key", F.when(small, pool).otherwise(part).alias("own"), F.when(small, F.lit("")).otherwise(F.col("c").cast("string")).alias("whole")), "jaccard-blocks")
+    met = lists.select("token", "set_key").join(placed, "set_key").groupBy("token").agg(F.array_sort(F.collect_set(F.struct("own", "whole"))).alias("m")).select("m").distinct()
+    # blocks of one large component need no comparison
+    both = F.expr("flatten(transform(m, x -> transform(filter(m, y -> x.own <= y.own and (x.whole <> y.whole or x.whole = '')), y -> struct(x.own as block, y.own as block2))))")
+    pairs = met.select(F.explode(both).alias("p")).select("p.*").distinct()
+    sides = pairs.select(F.col("block").alias("own"), "block", "block2", F.lit(0).alias("side")).unionByName(pairs.filter("block <> block2").select(F.col("block2").alias("own"), "block", "block2", F.lit(1).alias("side")))
+    width = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), 24)
+
+    rows = placed.select("own", "c", "set_key").join(sketches, "set_key").join(sides, "own").select("block", "block2", "side", "c", "set_key", "n", "shared", "marks")
+    rows = rows.repartition(width, "block", "block2").sortWithinPartitions("block", "block2")
+    likely, _ = written(rows.mapInArrow(lambda batches: by_block(batches, proposed), "block string, block2 string, side int, c long, a long, b long"), "jaccard-likely")
+    few = verified(likely.filter("b is not null").select("a", "b"), sets)
+    many = likely.filter("b is null").select("block", "block2", "side", "c", F.col("a").alias("set_key")).join(sets, "set_key").select("block", "block2", "side", "c", "set_key", "n", "hashes")
+    many = many.repartition(width, "block", "block2").sortWithinPartitions("block", "block2")
+    return few.unionByName(many.mapInArrow(lambda batches: by_block(batches, compared), "a long, b long"))
+
+
+def by_block(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work`` on the rows of each block pair, which come one after another."""
+    held, at = [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            now = (row["block"], row["block2"])
+            if held and now != at:
+                yield work(held)
+                held = []
+            at = now
+            held.append(row)
+    if held:
+        yield work(held)
+
+
+def sketched(sets: DataFrame) -> DataFrame:
+    """set_key, n, shared (shingles that other sets have) and marks, the bitmap of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = [np.frombuffer(h, "<u8") for h in batch.column(2).to_pylist()]
+            marks = [bitmap(h, n) for n, h in zip(batch.column(1).to_pylist(), hashes, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(h) for h in hashes], pa.int64()), pa.array(marks, pa.binary())], names=["set_key", "n", "shared", "marks"])
+
+    return sets.select("set_key", "n", "hashes").mapInArrow(run, "set_key long, n long, shared long, marks binary")
+
+
+def not_ruled_out(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may link by their bitmaps."""
+    side = lambda x: sketches.select(F.col("set_key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "shared", "marks")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "shared_a", "marks_a", "n_b", "shared_b", "marks_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, s, x, m, t, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+                x, y = (np.unpackbits(np.frombuffer(b, np.uint8)) for b in (x, y))
+                size = min(len(x), len(y))
+                x, y = (b.reshape(-1, size).max(0) for b in (x, y))
+                common = int((x & y).sum())
+                most = min(s - int(x.sum()) + common, t - int(y.sum()) + common)
+                keep.append(100 * most >= PERCENT * (n + m - most))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def bitmap(hashes: np.ndarray, n: int) -> bytes:
+    """A bit for each shared shingle, in twice as many bits as the set has shingles or more."""
+    size = 1 << max(6, (2 * n - 1).bit_length())
+    bits = np.zeros(size, np.uint8)
+    bits[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def proposed(rows: list[dict]) -> pa.RecordBatch:
+    """Pairs of different components that their bitmaps don't rule out; of a dense block pair its sets.
+
+    Bits of one set that the other lacks are shingles that it misses, at the least.
+    """
+    same = rows[0]["block"] == rows[0]["block2"]
+    n = np.array([r["n"] for r in rows])
+    side = np.array([r["side"] for r in rows])
+    _, c = np.unique([r["c"] for r in rows], return_inverse=True)
+    bits = [np.unpackbits(np.frombuffer(r["marks"], np.uint8)) for r in rows]
+    size = np.array([len(b) for b in bits])
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for p in np.unique(size).tolist():
+        # bitmaps of this size, and the next ones folded to it; sets of other sizes can't link
+        one, two = np.flatnonzero(size == p), np.flatnonzero(size == 2 * p)
+        x = np.stack([bits[i] for i in one]).astype(np.float32)
+        for other in (one, two):
+            if not len(other):
+                continue
+            y = x if other is one else np.stack([bits[i].reshape(2, p).max(0) for i in other]).astype(np.float32)
+            both = x @ y.T
+            n_x, n_y = n[one][:, None], n[other][None, :]
+            shared_x, shared_y = np.array([rows[i]["shared"] for i in one])[:, None], np.array([rows[i]["shared"] for i in other])[None, :]
+            most = np.minimum(shared_x - (x.sum(1)[:, None] - both), shared_y - (y.sum(1)[None, :] - both))
+            ok = (100 * most >= PERCENT * (n_x + n_y - most)) & (c[one][:, None] != c[other][None, :])
+            if not same:
+                ok &= side[one][:, None] != side[other][None, :]
+            if other is one:
+                ok = np.triu(ok, 1)
+            i, j = np.nonzero(ok)
+            found.append((one[i], other[j]))
+    i = np.concatenate([f[0] for f in found])
+    j = np.concatenate([f[1] for f in found])
+    if len(i) > DENSE * len(rows):
+        own = np.unique(np.concatenate([i, j])).tolist()
+        return pa.RecordBatch.from_pylist([{"block": r["block"], "block2": r["block2"], "side": r["side"], "c": r["c"], "a": r["set_key"], "b": None} for r in (rows[k] for k in own)], schema=LIKELY)
+    return pa.RecordBatch.from_pylist([{"a": rows[k]["set_key"], "b": rows[m]["set_key"]} for k, m in zip(i.tolist(), j.tolist(), strict=True)], schema=LIKELY)
+
+
+def compared(rows: list[dict]) -> pa.RecordBatch:
+    """A link for each two components of the block pair that have one."""
+    now_self = rows[0]["block"] == rows[0]["block2"]
+    tokens = [np.frombuffer(r["hashes"], "<u8") for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(t) for t in tokens])
+    _, column, counts = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    keep = counts[column] > 1
+    owner, column = owner[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    owner = owner[order]
+    column = np.cumsum(np.diff(column[order], prepend=column[order][:1]) > 0)
+    both = np.zeros((len(rows), len(rows)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [at, at + COLUMNS])
+        matrix = np.zeros((len(rows), COLUMNS), np.float32)
+        matrix[owner[a:b], column[a:b] - at] = 1
+        both += matrix @ matrix.T
+    n = np.array([r["n"] for r in rows])
+    _, c = np.unique([r["c"] for r in rows], return_inverse=True)
+    side = np.array([r["side"] for r in rows])
+    ok = (100 * both >= PERCENT * (n[:, None] + n[None, :] - both)) & (c[:, None] < c[None, :])
+    if not now_self:
+        ok &= side[:, None] != side[None, :]
+    i, j = np.nonzero(ok)
+    first = np.unique(c[i] * (c.max(initial=0) + 1) + c[j], return_index=True)[1]
+    return pa.RecordBatch.from_arrays([pa.array([rows[x]["set_key"] for x in i[first]], pa.int64()), pa.array([rows[x]["set_key"] for x in j[first]], pa.int64())], names=["a", "b"])
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of set keys that link, compared shingle by shingle.
 
@@ -261,7 +429,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [linked(np.frombuffer(x, "<u8"), n, np.frombuffer(y, "<u8"), m) for n, x, m, y in rows]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a string, b string")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

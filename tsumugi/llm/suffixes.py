@@ -9,7 +9,8 @@ Every byte that a string of ``length`` bytes covers which also starts anywhere e
     the bytes that these windows cover.  Runs with the same anchor go to the same shard; tasks
     send equal runs once, with their places.
 3.  A shard builds a suffix array (Larsson-Sadakane refinement in numpy) over its runs, with
-    Kasai's common prefixes; neighbours that share ``length`` bytes repeat.  Shards are bounded:
+    Kasai's common prefixes; neighbours that share ``length`` bytes repeat.  (A run whose
+    anchor stands nowhere else repeats in its equal copies alone.)  Shards are bounded:
     an anchor with more bytes of runs is dealt over several shards, whose sorted windows are
     then merged by binary search.
 4.  The repeated starts of each text become covered intervals, which are cut out.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,7 +77,8 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     table[value & np.uint64(0xFFFF)] = True
     near = np.sort(h[table[h & np.uint64(0xFFFF)]])
     several = np.searchsorted(near, value, "right") - np.searchsorted(near, value) > 1
-    return first, value, several
+    # minima are small numbers; mixed again they spread evenly over hash ranges
+    return first, mix(value), several
 
 
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +286,7 @@ def removed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     """key, n_bytes, n_removed, n_spans, kept_sha256, spans, and with ``keep_text`` the kept bytes as text."""
     spark = docs.sparkSession
     small_batches(spark)
-    n_ranges = max(64, math.ceil(total_bytes(docs, text) / (8 << 20)))
+    n_ranges = max(64, math.ceil(total_bytes(docs, text) / shard_bytes))
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
     kind = source.schema["key"].dataType.simpleString()
     chunks, _ = chunked(source, CHUNK_BYTES, "sa-chunks")
@@ -344,12 +347,13 @@ def removed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
                 for part, a, b in live:
                     # equal runs of the chunk are sent once, with their places
                     held: dict[tuple[int, bytes], list] = {}
-                    for t, s, n, h, _ in rows[a:b].tolist():
-                        entry = held.setdefault((h, texts[t][s : s + n - 1 + length]), [n, 0, []])
+                    for t, s, n, h, m in rows[a:b].tolist():
+                        entry = held.setdefault((h, texts[t][s : s + n - 1 + length]), [n, 0, [], 0])
                         entry[1] += len(many[t])
+                        entry[3] |= m > len(many[t])
                         entry[2] += [t, s]
                     entries = list(held.items())
-                    head = pack_arrays(np.array([k[0] for k, _ in entries]), np.array([len(k[1]) for k, _ in entries]), np.array([v[0] for _, v in entries]), np.array([v[1] for _, v in entries]), np.array([len(v[2]) for _, v in entries]), np.array([x for _, v in entries for x in v[2]]))
+                    head = pack_arrays(np.array([k[0] for k, _ in entries]), np.array([len(k[1]) for k, _ in entries]), np.array([v[0] for _, v in entries]), np.array([v[1] for _, v in entries]), np.array([len(v[2]) for _, v in entries]), np.array([x for _, v in entries for x in v[2]]), np.array([v[3] for _, v in entries]))
                     data = b"".join(k[1] for k, _ in entries)
                     out.append((part, len(data), len(head).to_bytes(8, "little") + head + squeeze(data, 1)))
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in out], pa.int32()), pa.array([row["chunk_id"]] * len(out), pa.int64()), pa.array([s for _, s, _ in out], pa.int32()), pa.array([x for _, _, x in out], pa.binary())], names=["part", "chunk_id", "size", "runs"])
@@ -446,14 +450,17 @@ def removed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
 def sorted_shard(held: list[dict], length: int) -> pa.RecordBatch:
     """A shard's repeats, and its distinct windows in order for the comparison with others."""
     runs: dict[tuple[int, bytes], int] = {}
+    periodic: set[int] = set()  # runs whose anchor stands at several places of a text
     windows, copies, owners = [], [], []  # owners of a run: (chunk number, places)
     for c, row in enumerate(held):
         raw = row["runs"]
         size = int.from_bytes(raw[:8], "little")
-        hashes, lengths, counts, many, n_places, places = unpack_arrays(raw[8 : 8 + size])
+        hashes, lengths, counts, many, n_places, places, inner = unpack_arrays(raw[8 : 8 + size])
         data, at, p = expand(raw[8 + size :]), 0, 0
-        for h, n, w, m, k in zip(hashes.tolist(), lengths.tolist(), counts.tolist(), many.tolist(), n_places.tolist(), strict=True):
+        for h, n, w, m, k, r in zip(hashes.tolist(), lengths.tolist(), counts.tolist(), many.tolist(), n_places.tolist(), inner.tolist(), strict=True):
             i = runs.setdefault((h, data[at : at + n]), len(runs))
+            if r:
+                periodic.add(i)
             if i == len(windows):
                 windows.append(w)
                 copies.append(0)
@@ -461,10 +468,17 @@ def sorted_shard(held: list[dict], length: int) -> pa.RecordBatch:
             copies[i] += m
             owners[i].append((c, places[p : p + k]))
             at, p = at + n, p + k
-    texts = [r[1] for r in runs]
-    flags, firsts, offsets = repeated_starts(texts, windows, [m > 1 for m in copies], length)
     chunk_ids = [row["chunk_id"] for row in held]
     several = held[0]["shards"] > 1
+    # the only run of its anchor has nothing to be compared with but its copies, which are equal
+    per_anchor = Counter(h for h, _ in runs)
+    rest = [i for i, (h, _) in enumerate(runs) if several or per_anchor[h] > 1 or i in periodic]
+    keys = list(runs)
+    texts = [keys[i][1] for i in rest]
+    flags = [np.full(w, m > 1) for w, m in zip(windows, copies, strict=True)]
+    compared, firsts, offsets = repeated_starts(texts, [windows[i] for i in rest], [copies[i] > 1 for i in rest], length) if rest else ([], np.zeros(0, np.int64), np.zeros(1, np.int64))
+    for i, f in zip(rest, compared, strict=True):
+        flags[i] = f
     back = [(i, c, t, s) for i, own in enumerate(owners) for c, places in own for t, s in places.reshape(-1, 2).tolist()] if several else []
     answers = spread(flags, owners, len(held), length)
     blob = b"".join(texts) if several else b""

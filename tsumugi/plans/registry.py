@@ -1,4 +1,15 @@
 """All registered queries outside the training-data operators."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tsumugi.plans import japanese, relational
+
+QUERIES = relational.QUERIES | japanese.QUERIES
+ORACLES = relational.ORACLES | japanese.ORACLES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents against a small lexicon: the core substring join."""
+    return QUERIES["substring_lexicon_join"](spark, sf_dir)

@@ -19,6 +19,7 @@ import mmap
 import os
 import struct
 import tempfile
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -260,7 +261,7 @@ def build_lexicon(docs: DataFrame, tokenizer: str, *, text: str = "text", size:
     top = count_words(docs, tokenizer, text=text).orderBy(F.desc("n"), "word").limit(size).collect()
     vocab = vocabulary(tokenizer)
     data = compile_words((bytes(r["word"]), vocab.merge(bytes(r["word"]))) for r in top)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.mast"
+    name = f"lexicon-{uuid.uuid4().hex}.mast"  # a session takes no second file of a name
     place = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
     with open(place, "wb") as f:
         f.write(data)

@@ -38,7 +38,7 @@ from tsumugi.llm.common import chunked, expand, mix, small_batches, squeeze, tot
 
 LENGTH, GRAM = 400, 32
 #: Bytes of runs that one suffix array takes.
-SHARD_BYTES, CHUNK_BYTES = 3 << 20, 4 << 20
+SHARD_BYTES, CHUNK_BYTES = 2 << 20, 2 << 20
 BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -13,7 +13,7 @@ SENTENCES = [(1, "今日は良い天気です"), (2, "私は学生です"), (3,
 SEGMENTED = [(1, "今日|は|良い|天気|です"), (2, "私|は|学生|です"), (3, "パン|が|好き"), (4, "良い|です")]
 WORDS = [("がっこう", "gakkou"), ("とうきょう", "toukyou"), ("しんいち", "shin'ichi"), ("マッチ", "matchi"), ("ラーメン", "raamen"), ("じゃない", "janai"), ("日", "日")]
 NUMBERS = [("100万", 1000000), ("100万500", 1000500), ("二千二万一", None), ("二千万二万一", None), ("十一", 11), ("百二十三億", 12300000000), ("二〇二〇", 2020)]
-PATTERN = [{"id": "ask-answer", "pattern": {"sequence": [{"token": {"role": "user"}}, {"repeat": {"node": {"token": {"role": "assistant"}}, "min": 1}}]}}]
+PATTERN = [{"id": "ask-answer", "pattern": {"sequence": [{"token": {"role": "user"}}, {"repeat": {"pattern": {"token": {"role": "assistant"}}, "min": 1, "max": 1000000}}]}}]
 
 
 def values(rows: list[tuple], names: str) -> str:

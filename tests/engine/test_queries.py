@@ -36,5 +36,46 @@ def test_numbers():
 
 
 def test_romaji():
-    assert kana.romanise_word("とうきょう", long_vowels=True) == "tōkyō"
     assert kana.romanise_word("しゃしん", "kunrei") == "syasin" and kana.romanise_word(None) is None
+    cases = {"hepburn": "toukyou", "simple": "tokyo", "passport": "tohkyoh", "traditional": "tōkyō", "modified": "tōkyō", "kunrei": "tôkyô"}
+    assert {m: kana.romanise_word("とうきょう", m) for m in kana.METHODS} == cases
+    words = {"マッチ": "matchi", "しんいち": "shin-ichi", "しんぶん": "shimbun", "ファン": "fan", "ティ": "ti", "ウィ": "wi", "ヴァ": "va", "ちゝ": "chichi", "いすゞ": "isuzu", "っ": "!", "ー": "~", "ラーメン": "ramen"}
+    assert {w: kana.romanise_word(w, "traditional") for w in words} == words
+    assert kana.join_parts(["a", "b", ", ", "c", "", "。", "d"]) == "a b, c。 d"
+
+
+def test_kana_numbers():
+    words = {0: "れい", 300: "さんびゃく", 600: "ろっぴゃく", 8000: "はっせん", 10**4: "いちまん", 10**12: "いっちょう", 1234: "せん にひゃく さんじゅう よん"}
+    assert {n: kana.kana_number(n) for n in words} == words
+    assert kana.kanji_number(10**7) == "一千万" and kana.kanji_number(1100) == "千百"
+
+
+def test_chars(spark):
+    from pyspark.sql import functions as F
+
+    from tsumugi.functions import chars as c
+
+    one = lambda col: spark.range(1).select(col.alias("x")).first()["x"]
+    lit = F.lit
+    assert one(c.normalise(lit("ｶﾞｷﾞ１Ａ。"))) == "ガギ1A. "
+    assert one(c.mora_length(lit("がっこうー"))) == 3
+    assert one(c.rendaku(lit("かみ"))) == "がみ" and one(c.rendaku(lit("ほう"), half=True)) == "ぽう" and one(c.unrendaku(lit("ぽう"))) == "ほう"
+    assert one(c.geminate(lit("けつ"))) == "けっ" and one(c.geminate(lit(""))) == ""
+    assert one(c.kanji_mask(lit("取り次ぐ"))) == "%り%ぐ" and one(c.kanji_match(lit("食べる"), lit("たべる"))) and not one(c.kanji_match(lit("食べる"), lit("たべた")))
+    assert one(c.kanji_cross_match(lit("食べる"), lit("たべる"), lit("食べた"))) == "たべた" and one(c.kanji_cross_match(lit("a"), lit("b"), lit("c"))) is None
+    assert one(c.sequential_kanji(lit("今日は良い天気"))) == [1, 6]
+    assert one(c.sticky_positions(lit("がっこう"))) == [2] and one(c.sticky_positions(lit("しゃー"))) == [1] and one(c.sticky_positions(lit(""))) == []
+    assert one(c.destem(lit("食べる"), 1)) == "食べ" and one(c.destem(lit("食べる"), 3)) == ""
+    assert [(x.start, x.end) for x in one(c.class_runs(lit("aカタbナ"), "katakana"))] == [(1, 3), (4, 5)]
+    assert [(x.type, x.text) for x in one(c.basic_split(lit("abc今日は12個。")))] == [("misc", "abc"), ("word", "今日は12個"), ("misc", "。")]
+    assert one(c.sentences(lit("行く。」来る！ x"))) == ["行く。」", "来る！ ", "x"]
+
+
+def test_alignment_nulls(spark):
+    from tsumugi.operators import alignment
+
+    words = spark.createDataFrame([(None, "か"), ("か", None), ("", ""), ("犬", "いぬ"), ("犬", "いぬ"), ("か", "き")], "word string, reading string")
+    readings = spark.createDataFrame([], "kanji string, ord int, type string, text string")
+    got = sorted((r.word or "-", r.reading or "-", r.parts and r.parts[0].type) for r in alignment.align_readings(words, readings).collect())
+    assert got == sorted([("-", "-", None), ("-", "か", None), ("か", "-", None), ("か", "き", None), ("犬", "いぬ", "irr"), ("犬", "いぬ", "irr")])
+    assert alignment.original_reading("ぽう", True, None) == "ほう" and alignment.original_reading("けっ", False, "つ") == "けつ"

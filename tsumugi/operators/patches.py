@@ -24,9 +24,3 @@ def renumbered(rows: DataFrame, group: list[str], order: list[str], column: str
     """``column`` counts 0, 1, ... inside each group."""
     text = f"row_number() over (partition by {', '.join(group)} order by {', '.join(order)}) - 1"
     return rows.withColumn(column, F.expr(text))
-
-
-def conjugated(words: DataFrame, rules: DataFrame) -> DataFrame:
-    """word, pos joined to the rules (pos, conj, neg, fml, stem, okuri): the stem with the rule's ending."""
-    form = F.expr("concat(substring(word, 1, length(word) - stem), okuri)")
-    return words.join(rules, "pos").select("word", "pos", "conj", "neg", "fml", form.alias("form")).distinct()

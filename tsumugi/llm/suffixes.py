@@ -123,34 +123,39 @@ def unsorted_places(group: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False]))) if len(group) else np.zeros(0, np.int64)
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int, lanes: int = 4096) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, rank: np.ndarray, most: int, lanes: int = 16384) -> np.ndarray:
     """Kasai's common prefix of each suffix with the one before it in order, up to ``most`` bytes.
 
     The text is cut into lanes that run Kasai's scan side by side: a suffix shares at least one
-    byte less with its neighbour than its predecessor in the text did, so each step of a lane
-    either compares one more byte or moves on.  Suffixes that the array left in one group (equal
-    ``rank``) share ``most`` bytes and more; as their order is open, nothing follows for the next.
+    byte less with its neighbour than its predecessor in the text did.  A step of a lane compares
+    eight bytes as one number; where they differ or the limit is reached, it moves on.  Suffixes
+    that the array left in one group (equal ``rank``) share ``most`` bytes and more; as their order
+    is open, nothing follows for the next.
     """
     n = len(data)
     if n < 2:
         return np.zeros(n, np.int64)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
-    padded = np.concatenate([data, np.zeros(most + 1, np.uint8)])
-    known = np.zeros(n, np.int64)
+    alone = before < 0
+    tied = ~alone & (rank == rank[before])
+    room = np.where(alone | tied, 0, np.minimum(most, n - np.maximum(np.arange(n), before)))
+    padded = np.concatenate([data, np.zeros(most + 16, np.uint8)])
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+    known = np.where(tied, most, 0)
     width = max(1, -(-n // lanes))
     i = np.arange(0, n, width)
     stop = np.minimum(i + width, n)
     h = np.zeros(len(i), np.int64)
     while len(i):
-        j = before[i]
-        far = np.maximum(i, j) + h
-        tied = (j >= 0) & (rank[i] == rank[j])
-        more = ~tied & (j >= 0) & (h < most) & (far < n)
-        more &= padded[i + h] == padded[j + h]
-        out = ~more
-        known[i[out]] = np.where(tied, most, h)[out]
-        h = np.where(more, h + 1, np.where(tied, 0, np.maximum(h - 1, 0)))
+        limit = room[i]
+        x = words[i + h] ^ words[before[i] + h]
+        same = np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3
+        grown = np.minimum(h + same, limit)
+        out = (same < 8) | (grown >= limit)
+        measured = out & (limit > 0)
+        known[i[measured]] = grown[measured]
+        h = np.where(out, np.maximum(grown - 1, 0), grown)
         i = i + out
         ended = i >= stop
         if ended.any():

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import ALNUM_WORDS, as_bytes, byte_words, small_batches, total_bytes
+from tsumugi.llm.common import ALNUM_WORDS, as_bytes, byte_words, lean, small_batches, total_bytes
 
 WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 MAX_BROADCAST_BYTES = 32 << 20
@@ -112,7 +112,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", tex
                 names=["doc_key", "hit_runs", "n_words", "n_hit", "n_items", "items_sha256"],
             )
 
-    return docs.mapInArrow(run, OUT.replace("row_key binary", f"doc_key {kind}")).withColumnRenamed("doc_key", key)
+    return docs.mapInArrow(lean(run), OUT.replace("row_key binary", f"doc_key {kind}")).withColumnRenamed("doc_key", key)
 
 
 def joined_hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
@@ -144,7 +144,7 @@ def joined_hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
                         runs.append({"start": x["i"], "end": x["i"] + x["m"]})
                 yield pa.RecordBatch.from_pylist([{"row_key": r["row_key"], "hit_runs": runs, "n_hit": sum(x["end"] - x["start"] for x in runs), "n_items": len(r["ids"]), "items_sha256": items_digest(set(r["ids"]))}], schema=pa.schema([("row_key", pa.binary()), ("hit_runs", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string())]))
 
-    merged = per_doc.mapInArrow(merge, OUT.replace("n_words long, ", ""))
+    merged = per_doc.mapInArrow(lean(merge), OUT.replace("n_words long, ", ""))
     out = found.select("doc_key", "row_key", F.size("w").cast("long").alias("n_words")).join(merged, "row_key", "left")
     none = F.lit(items_digest(set()))
     return out.select("doc_key", F.coalesce("hit_runs", F.expr("cast(array() as array<struct<start: int, end: int>>)")).alias("hit_runs"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.coalesce("items_sha256", none).alias("items_sha256"))
@@ -186,4 +186,4 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
             columns = [pa.array(texts, batch.column(place).type) if i == place else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import BLANK_WORDS, byte_words, chunked, drop_path, expand, mix, small_batches, squeeze, total_bytes, unpack_rows, written
+from tsumugi.llm.common import BLANK_WORDS, byte_words, chunked, drop_path, expand, lean, mix, small_batches, squeeze, total_bytes, unpack_rows, written
 from tsumugi.llm.urls import components
 
 WORDS, PERCENT = 5, 75
@@ -184,7 +184,7 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
             yield flush(held)
 
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24)
-    counted = chunks.mapInArrow(send, "part int, chunk_id long, marks binary").repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(classify, "chunk_id long, part int, answer binary, payload binary")
+    counted = chunks.mapInArrow(lean(send), "part int, chunk_id long, marks binary").repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(lean(classify), "chunk_id long, part int, answer binary, payload binary")
     both = counted.unionByName(chunks.select("chunk_id", F.lit(2**31 - 1).alias("part"), F.lit(None).cast("binary").alias("answer"), "payload"))
     both = both.repartition(width, "chunk_id").sortWithinPartitions("chunk_id", "part")
 
@@ -211,7 +211,7 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
                 n = len(own)
                 yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, rows.column("key").type), pa.array([o[1] for o in own], pa.int64()), pa.array([o[0] for o in own], pa.int64()), pa.array([o[2] for o in own], pa.binary()), pa.array([o[3] for o in own], pa.binary())], names=names)
 
-    found, _ = written(both.mapInArrow(survivors, f"kind int, key {kind}, n long, set_key long, hashes binary, classes binary"), "jaccard-sets")
+    found, _ = written(both.mapInArrow(lean(survivors), f"kind int, key {kind}, n long, set_key long, hashes binary, classes binary"), "jaccard-sets")
     drop_path(spark, chunk_path)
     rows = found.filter("kind = 0").select("key", "n", "set_key")
     # a set of several chunks is the same in each, classes included
@@ -229,7 +229,7 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
             if owners:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(owners, pa.int64()), pa.array(sizes, pa.int64()), pa.array(roles, pa.int32())], names=["token", "set_key", "n", "role"])
 
-    posted, posted_path = written(sets.mapInArrow(entries, "token long, set_key long, n long, role int").distinct(), "jaccard-lists")
+    posted, posted_path = written(sets.mapInArrow(lean(entries), "token long, set_key long, n long, role int").distinct(), "jaccard-lists")
     lists = posted.groupBy("token").agg(F.min(F.when(F.col("role") == 1, F.col("set_key"))).alias("lead"), F.max("set_key").alias("top"), F.min("set_key").alias("low")).filter("lead is not null and top <> low").select("token", "lead")
     sizes = posted.select("set_key", "n").distinct()
     led = posted.join(lists, "token").filter("set_key <> lead").select("lead", "set_key", "n").distinct()
@@ -286,11 +286,11 @@ def linked_blocks(lists: DataFrame, sets: DataFrame, sketches: DataFrame) -> Dat
 
     rows = placed.select("own", "c", "set_key").join(sketches, "set_key").join(sides, "own").select("block", "block2", "side", "c", "set_key", "n", "shared", "marks")
     rows = rows.repartition(width, "block", "block2").sortWithinPartitions("block", "block2")
-    likely, _ = written(rows.mapInArrow(lambda batches: by_block(batches, proposed), "block string, block2 string, side int, c long, a long, b long"), "jaccard-likely")
+    likely, _ = written(rows.mapInArrow(lean(lambda batches: by_block(batches, proposed)), "block string, block2 string, side int, c long, a long, b long"), "jaccard-likely")
     few = verified(likely.filter("b is not null").select("a", "b"), sets)
     many = likely.filter("b is null").select("block", "block2", "side", "c", F.col("a").alias("set_key")).join(sets, "set_key").select("block", "block2", "side", "c", "set_key", "n", "hashes")
     many = many.repartition(width, "block", "block2").sortWithinPartitions("block", "block2")
-    return few.unionByName(many.mapInArrow(lambda batches: by_block(batches, compared), "a long, b long"))
+    return few.unionByName(many.mapInArrow(lean(lambda batches: by_block(batches, compared)), "a long, b long"))
 
 
 def by_block(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
@@ -317,7 +317,7 @@ def sketched(sets: DataFrame) -> DataFrame:
             marks = [bitmap(h, n) for n, h in zip(batch.column(1).to_pylist(), hashes, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(h) for h in hashes], pa.int64()), pa.array(marks, pa.binary())], names=["set_key", "n", "shared", "marks"])
 
-    return sets.select("set_key", "n", "hashes").mapInArrow(run, "set_key long, n long, shared long, marks binary")
+    return sets.select("set_key", "n", "hashes").mapInArrow(lean(run), "set_key long, n long, shared long, marks binary")
 
 
 def not_ruled_out(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -337,7 +337,7 @@ def not_ruled_out(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
                 keep.append(100 * most >= PERCENT * (n + m - most))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def bitmap(hashes: np.ndarray, n: int) -> bytes:
@@ -429,7 +429,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             keep = [linked(np.frombuffer(x, "<u8"), n, np.frombuffer(y, "<u8"), m) for n, x, m, y in rows]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(lean(run), "a long, b long")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import as_bytes, small_batches
+from tsumugi.llm.common import as_bytes, lean, small_batches
 
 #: The split of the byte-level vocabularies (a fixed, published pattern).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -253,7 +253,7 @@ def count_words(docs: DataFrame, tokenizer: str, *, text: str = "text", share: f
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in kept], pa.binary()), pa.array([n for _, n in kept], pa.int64())], names=["word", "n"])
 
-    return docs.select(F.col(text)).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text)).mapInArrow(lean(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, tokenizer: str, *, text: str = "text", size: int = LEXICON_WORDS) -> str:
@@ -325,4 +325,4 @@ def encoded(docs: DataFrame, tokenizer: str, lexicon: str, *, keys: list[str], t
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import as_bytes, small_batches
+from tsumugi.llm.common import as_bytes, lean, small_batches
 
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 15
 DICT_BYTES, PIECE, LEVEL = 112 << 10, 384, 3
@@ -130,7 +130,7 @@ def scored(docs: DataFrame, model: Model, *, keys: tuple[str, ...] = ("doc_id",)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([score(x) for x in as_bytes(batch.columns[-1])], pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(lean(run), schema)
 
 
 def kept(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -144,4 +144,4 @@ def kept(docs: DataFrame, model: Model, *, text: str = "text", least: float = 0.
         for batch in batches:
             yield batch.filter(pa.array([score(x) >= least for x in as_bytes(batch.column(place))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

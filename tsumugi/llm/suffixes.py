@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import chunked, expand, mix, small_batches, squeeze, total_bytes, unpack_rows, written
+from tsumugi.llm.common import chunked, expand, lean, mix, small_batches, squeeze, total_bytes, unpack_rows, written
 
 LENGTH, GRAM = 400, 32
 #: Bytes of runs that one suffix array takes.
@@ -325,8 +325,8 @@ def removed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
             yield flush(held)
 
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24)
-    tallies = chunks.mapInArrow(send, "part int, chunk_id long, hashes binary").repartition(n_ranges, "part").sortWithinPartitions("part")
-    answers = tallies.mapInArrow(count, "chunk_id long, part int, answer binary, payload binary")
+    tallies = chunks.mapInArrow(lean(send), "part int, chunk_id long, hashes binary").repartition(n_ranges, "part").sortWithinPartitions("part")
+    answers = tallies.mapInArrow(lean(count), "chunk_id long, part int, answer binary, payload binary")
     last = F.lit(2**31 - 1)
 
     def with_chunks(rows: DataFrame) -> DataFrame:
@@ -363,7 +363,7 @@ def removed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
                     out.append((part, len(data), len(head).to_bytes(8, "little") + head + squeeze(data, 1)))
                 yield pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in out], pa.int32()), pa.array([row["chunk_id"]] * len(out), pa.int64()), pa.array([s for _, s, _ in out], pa.int32()), pa.array([x for _, _, x in out], pa.binary())], names=["part", "chunk_id", "size", "runs"])
 
-    sent, _ = written(with_chunks(answers).mapInArrow(runs, "part int, chunk_id long, size int, runs binary"), "sa-runs")
+    sent, _ = written(with_chunks(answers).mapInArrow(lean(runs), "part int, chunk_id long, size int, runs binary"), "sa-runs")
     # a range with more bytes than a shard may hold is dealt over several by chunk
     sizes = sent.groupBy("part").agg(F.ceil(F.sum("size") / shard_bytes).cast("int").alias("shards"))
     dealt = sent.join(sizes, "part").withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.greatest(F.lit(1), "shards")).cast("int"))
@@ -381,13 +381,13 @@ def removed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
             yield sorted_shard(held, length)
 
     columns = "part int, salt int, shards int, bytes binary, first binary, back binary, answers binary, chunk_ids array<long>"
-    shards, _ = written(dealt.mapInArrow(shard, columns), "sa-shards")
+    shards, _ = written(dealt.mapInArrow(lean(shard), columns), "sa-shards")
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, answers, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 yield answers_batch(part, ids, unpack_arrays(answers))
 
-    found = shards.select("part", "answers", "chunk_ids").mapInArrow(opened, "chunk_id long, part int, answer binary, payload binary")
+    found = shards.select("part", "answers", "chunk_ids").mapInArrow(lean(opened), "chunk_id long, part int, answer binary, payload binary")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -406,7 +406,7 @@ def removed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     split = split.join(shards.filter("shards > 1").select("part", F.col("salt").alias("other")), ["part", "other"], "left_semi")
     split = split.select("part", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), "bytes", "first", "back", "chunk_ids")
     pairs = split.repartition(width, "part", "low", "high").sortWithinPartitions("part", "low", "high")
-    across = pairs.mapInArrow(merge, "chunk_id long, part int, answer binary, payload binary")
+    across = pairs.mapInArrow(lean(merge), "chunk_id long, part int, answer binary, payload binary")
 
     extra = ", kept string" if keep_text else ""
 
@@ -448,7 +448,7 @@ def removed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
                     names.append("kept")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    out = with_chunks(found.unionByName(across)).mapInArrow(cut, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>" + extra)
+    out = with_chunks(found.unionByName(across)).mapInArrow(lean(cut), f"key {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>" + extra)
     return out.withColumnRenamed("key", key)
 
 

@@ -79,3 +79,13 @@ def test_alignment_nulls(spark):
     got = sorted((r.word or "-", r.reading or "-", r.parts and r.parts[0].type) for r in alignment.align_readings(words, readings).collect())
     assert got == sorted([("-", "-", None), ("-", "か", None), ("か", "-", None), ("か", "き", None), ("犬", "いぬ", "irr"), ("犬", "いぬ", "irr")])
     assert alignment.original_reading("ぽう", True, None) == "ほう" and alignment.original_reading("けっ", False, "つ") == "けつ"
+
+
+def test_sentence_split_whole(spark, tmp_path):
+    """Every sentence of a text, however many it has."""
+    import re
+
+    texts = [(1, "".join(f"s{i}. " for i in range(40))), (2, "a! b? c"), (3, ""), (4, None), (5, "x\ny. z.. w"), (5, "one. two. three. four")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in QUERIES["sentence_split"](spark, str(tmp_path)).select("doc_id", "i", "s").collect())
+    assert got == sorted((d, i, s) for d, t in texts for i, s in enumerate(re.findall(r"[^.!?]+[.!?]?", t or "")))

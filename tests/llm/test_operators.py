@@ -288,6 +288,18 @@ def test_decontamination_edges(spark):
     assert out == {0: None, 1: "", 2: "! three one", 3: "", 5: "a  b"}
 
 
+def test_decontaminated_beyond_broadcast(spark):
+    """Above the broadcast bound the stage gives the same rows, by a join."""
+    bench = spark.createDataFrame([(1, "One two"), (2, None), (None, "x1²"), (4, "w1 w2 w3 w4 w5 w6 w7 w8 w9"), (10, "W9 w10 w11 w12 w13 w14 w15 w16")], "item_id long, text string")
+    texts = [None, "", "ONE, TWO! three one", "w1 w2 w3 w4 w5 w6 w7 w8", " ".join(f"w{i}" for i in range(30)), "a x1² b", "ONE, TWO! three one"]
+    docs = docs_of(spark, texts)
+    out = decontaminate.decontaminated(docs, bench, max_broadcast_bytes=0)
+    assert out.columns == docs.columns and {(r["doc_id"], r["text"], r["key"], r["body"], r["part"], r["n"]) for r in out.collect()} == {(i, t, "x", "y", "z", 1) for i, t in {0: None, 1: "", 2: "! three one", 3: "", 5: "a  b", 6: "! three one"}.items()}
+    docs, bench = documents(spark), spark.read.parquet(f"{SF}/benchmark.parquet")
+    scanned, joined = (sorted(map(repr, decontaminate.decontaminated(docs, bench, max_broadcast_bytes=b).collect())) for b in (1 << 25, 0))
+    assert scanned == joined != sorted(map(repr, docs.collect()))
+
+
 def test_lattice(spark):
     path = public_tokenizer("piece_bpe_32k.model")
     texts = [None, "", "The cat the", "the dog  Ünique", "a" * 3000 + " x", *edge_texts(spark)]

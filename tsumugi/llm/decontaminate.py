@@ -160,17 +160,38 @@ def cut_runs(text: str, runs: list[tuple[int, int]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", n: int = 8, drop_items: int = 2) -> DataFrame:
+def cut_by_join(docs: DataFrame, items: DataFrame, text: str, n: int, drop_items: int) -> DataFrame:
+    """decontaminated() for a benchmark of any size, by joined_hits; documents meet their hits by content."""
+    digest = F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    distinct = docs.select(digest.alias("doc_key"), F.col(text).alias("doc_text")).dropDuplicates(["doc_key"])
+    # texts without hits stay out, so most documents meet nothing
+    hits = joined_hits(distinct, items, n).filter(F.size("hit_runs") > 0).select(F.col("doc_key").alias("__digest"), F.col("hit_runs").alias("__runs"), F.col("n_items").alias("__items"))
+    both = docs.withColumn("__digest", digest).join(hits, "__digest", "left").filter(F.coalesce("__items", F.lit(0)) < drop_items).select(*docs.columns, "__runs")
+    names, place = docs.columns, docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            for i, runs in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                if runs:
+                    texts[i] = cut_runs(texts[i], [(x["start"], x["end"]) for x in runs])
+            columns = [pa.array(texts, c.type) if i == place else c for i, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return both.mapInArrow(lean(run), docs.schema)
+
+
+def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", n: int = 8, drop_items: int = 2, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Documents with hits of ``drop_items`` or more items go; from others the hit spans are cut.
 
     All columns of ``docs`` are kept; ``text`` alone changes.  Works in one scan while the
-    benchmark is below the broadcast bound, which is raised as an error beyond it.
+    benchmark is below the broadcast bound; beyond it the hits of each distinct text are joined.
     """
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select("item_id", "text")
-    if total_bytes(items, "text") > MAX_BROADCAST_BYTES:
-        raise ValueError("the benchmark exceeds the broadcast bound; use find_hits, which joins")
+    if total_bytes(items, "text") > max_broadcast_bytes:
+        return cut_by_join(docs, items.toDF("item_key", "item_text"), text, n, drop_items)
     index = spark.sparkContext.broadcast(WindowIndex([(r[0], (r[1] or "").encode()) for r in items.collect()], n))
     place = docs.columns.index(text)
 

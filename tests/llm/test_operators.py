@@ -204,6 +204,18 @@ def test_one_of_each(spark):
     assert kept == [i for i, (n, c) in enumerate(comps) if n == 0 or c == i]
 
 
+def test_one_of_each_reused_ids(spark):
+    """Of two texts under one id, only the one that is a near copy goes."""
+    words = [f"w{i}" for i in range(60)]
+    near, other, last = " ".join([*words, "more"]), " ".join(f"v{i}" for i in range(50)), " ".join([*words, "again"])
+    texts = [" ".join(words), near, other, other, "alone", near, last, ""]
+    ids = [1, 5, 5, 5, 5, None, 1, 5]
+    kept = sorted(((r["doc_id"] or 0, r["text"]) for r in jaccard.one_of_each(docs_of(spark, texts, ids)).collect()), key=repr)
+    one = [k for k in kept if k[0] == 1]
+    assert len(one) == 1 and one[0][1] in (texts[0], last)
+    assert [k for k in kept if k[0] != 1] == sorted([(0, near), (5, ""), (5, "alone"), (5, other)], key=repr)
+
+
 def test_bpe_round_trip(spark):
     from tokenizers import Tokenizer
 

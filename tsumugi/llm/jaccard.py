@@ -435,11 +435,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents without near copies: of each component the row with the smallest id stays.
 
-    All columns are kept; of rows that repeat that id, one stays.  Rows with a null id, and those
+    All columns are kept; rows are known by id and content, so an id that other texts share takes
+    none of them along, and of rows that repeat both, one stays.  Rows with a null id, and those
     without shingles, stand for themselves and stay.
     """
-    found = components_of(docs, key=key, text=text).filter(F.col("n_shingles") > 0).filter(F.col(key).isNotNull() & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("__key")).distinct()
-    kept = docs.join(found, docs[key] == found["__key"], "left_anti")
+    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text)))
+    # null where the id is null; both fields nullable, as in the batches that come back
+    held = F.col(key).isNotNull()
+    named = hashed.select(F.when(held, F.struct(F.col(key).alias("id"), F.when(held, F.col("__hash")).alias("hash"))).alias("row"), F.col(text).alias("body"))
+    found = components_of(named, key="row", text="body").filter((F.col("n_shingles") > 0) & F.col("row").isNotNull() & (F.col("row") != F.col("component_id"))).select(F.col("row.id").alias("__key"), F.col("row.hash").alias("__copy")).distinct()
+    kept = hashed.join(found, (hashed[key] == found["__key"]) & (hashed["__hash"] == found["__copy"]), "left_anti")
     first = F.expr(f"row_number() over (partition by `{key}`, __hash order by __hash)")
-    ranked = kept.withColumn("__hash", F.xxhash64(F.col(text))).withColumn("__n", first)
-    return ranked.filter((F.col("__n") == 1) | F.col(key).isNull()).select(*docs.columns)
+    return kept.withColumn("__n", first).filter((F.col("__n") == 1) | F.col(key).isNull()).select(*docs.columns)

@@ -330,6 +330,24 @@ def test_lattice(spark):
     assert lattice.scores(df.limit(0), path).count() == 0
 
 
+def test_lattice_rare_words(spark):
+    """Every step of the re-estimation takes the rare training words too."""
+    path, texts = public_tokenizer("piece_bpe_32k.model"), ["kitten sofa", "garden lamps", "purple river"]
+    ids = [i for i in range(100) if zlib.crc32(str(i).encode()) % 10][:3]
+    got = {r["doc_id"]: r["lattice_score"] for r in lattice.scores(docs_of(spark, texts, ids), path).collect()}
+    counts = Counter(w.encode() for t in texts for w in [*t.split(), "\n"])
+    held, logs = lattice.pieces(path), lattice.pieces(path).logs
+    at = {w: i for i, w in enumerate(counts)}
+    # the end of a document is sent as an empty word
+    words, n = [w.strip() for w in counts], np.array(list(counts.values()), float)
+    for _ in range(3):
+        uses = held.all_forward(words, logs, n)[1] + lattice.SMOOTH
+        logs = np.log(uses / uses.sum())
+    score = held.all_forward(words, logs)[0]
+    for i, t in zip(ids, texts, strict=True):
+        assert got[i] == pytest.approx(sum(score[at[w.encode()]] for w in [*t.split(), "\n"]) / math.log(10), rel=1e-6)
+
+
 def test_lattice_forward():
     p = lattice.pieces(public_tokenizer("piece_bpe_32k.model"))
     prob = dict(zip(p.texts, np.exp(p.logs), strict=True))

@@ -270,9 +270,8 @@ def scores(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
     n, v = (int(x or 0) for x in vocab.agg(F.sum("n"), F.sum("v")).first())
     drop_path(spark, sent_path)
     logs = pieces(vocabulary).logs
-    # the first steps settle on the repeated words, the last takes them all
-    for least in [3] * warm + [1] if n else []:
-        logs = re_estimated(vocab, vocabulary, logs, least)
+    for _ in range(warm + 1 if n else 0):
+        logs = re_estimated(vocab, vocabulary, logs)
     model = spark.sparkContext.broadcast(logs)  # one number for each piece of the vocabulary
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,8 +332,8 @@ def range_starts(n: int) -> np.ndarray:
     return np.array([(i << 64) // n for i in range(n)], np.uint64)
 
 
-def re_estimated(vocab: DataFrame, vocabulary: str, logs: np.ndarray, least: int = 1) -> np.ndarray:
-    """One step of expectation-maximisation over the training words seen ``least`` times or more; the driver gets one number for each piece."""
+def re_estimated(vocab: DataFrame, vocabulary: str, logs: np.ndarray) -> np.ndarray:
+    """One step of expectation-maximisation over all training words; the driver gets one number for each piece."""
     held = vocab.sparkSession.sparkContext.broadcast(logs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,7 +341,7 @@ def re_estimated(vocab: DataFrame, vocabulary: str, logs: np.ndarray, least: int
         for batch in batches:
             for row in batch.to_pylist():
                 words, total = expand(row["words"]).split(b"\n"), np.frombuffer(expand(row["total"]), "<i8")
-                seen = np.flatnonzero(total >= least)
+                seen = np.flatnonzero(total > 0)
                 uses = uses + lattice.all_forward([words[i] for i in seen.tolist()], held.value, total[seen].astype(np.float64))[1]
         if not np.isscalar(uses):
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(uses)), pa.int32()), pa.array(uses, pa.float64())], names=["piece", "uses"])

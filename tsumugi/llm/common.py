@@ -62,6 +62,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Keys that ``looked_up`` broadcasts at most, and the rows from which a key may be one of them.
+HOT_KEYS, HOT_ROWS = 1000, 2000
+#: Bytes of input that one task of an exchange of chunks takes, about.
+TASK_BYTES = 32 << 20
+
+
+def task_width(spark: SparkSession, size: int) -> int:
+    """Tasks for an exchange that moves ``size`` bytes of input: their share stays the same as the input grows."""
+    return max(24, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, on: str, size: str, spread: str) -> DataFrame:
+    """``rows`` with the columns of ``facts`` (one row for each value of ``on``; ``size``: how many rows have it).
+
+    A value with more than a thousandth of all rows goes by broadcast, of which there can't be
+    more than ``HOT_KEYS``; its rows are dealt out by ``spread`` instead of ``on``.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    values = [c for c in facts.columns if c not in (on, size)]
+    bound = max(HOT_ROWS, total // HOT_KEYS)
+    hot = facts.filter(F.col(size) > bound).select(F.col(on).alias("__hot"), *[F.col(c).alias(f"__{c}") for c in values])
+    cold = facts.filter(F.col(size) <= bound).select(F.col(on).alias("__cold"), F.lit(0).cast("long").alias("__zero"), *values)
+    marked = rows.join(F.broadcast(hot), F.col(on) == F.col("__hot"), "left")
+    away = F.when(F.col("__hot").isNotNull() | F.col(on).isNull(), F.shiftrightunsigned(F.xxhash64(spread), 1) + 1).otherwise(F.lit(0).cast("long"))
+    both = marked.withColumn("__salt", away).join(cold, (F.col(on) == F.col("__cold")) & (F.col("__salt") == F.col("__zero")), "left")
+    return both.select(*[rows[c] for c in rows.columns], *[F.when(F.col("__hot").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in values])
+
+
 def total_bytes(df: DataFrame, column: str) -> int:
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 

@@ -6,12 +6,13 @@ sum.  A logistic curve fitted on labelled rows outside the dictionaries' own tur
 score from 0 to 1.
 
 The dictionaries and the curve are fitted on at most ``SAMPLE_ROWS`` labelled rows of a class,
-taken by a hash of their id, from texts of at most ``SAMPLE_BYTES`` bytes.  Only learning is
-bounded so; every text is scored whole.
+taken by a hash of their id, from texts of at most ``SAMPLE_BYTES`` bytes, in one task of an
+executor.  Only learning is bounded so; every text is scored whole.
 
 Defined results: null and empty texts have difference 0 and so the curve's score at 0; rows
 without a label never teach; with one class or none labelled the score is the share of label 1
-(0.5 without labels); repeated rows each get their score.
+(0.5 without labels); repeated rows each get their score; of several texts under one id the
+smallest teaches; a null id never teaches and isn't held out.
 """
 
 from __future__ import annotations
@@ -94,11 +95,11 @@ def fit(good: list[bytes], bad: list[bytes], prior: float = 0.5) -> Model:
 
 
 def is_held_out(key) -> F.Column:
-    return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on labelled rows that aren't held out; at most ``rows`` of a class reach the driver."""
+    """Fit on labelled rows that aren't held out; at most ``rows`` of a class meet in the task that learns."""
     pool = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).filter(F.col("y").isin(0, 1) & F.col("k").isNotNull()).filter(~is_held_out("k"))
     pool = pool.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z")
     chosen = None
@@ -106,10 +107,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
         part = pool.filter(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(rows).select("k", "y")
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(key).alias("k"), F.col(text).alias("x")).filter(F.octet_length("x").between(1, SAMPLE_BYTES))
-    got = texts.join(F.broadcast(chosen), "k").dropDuplicates(["k"]).select("k", "y", F.encode("x", "UTF-8").alias("x")).collect()
-    got.sort(key=lambda r: (hash_order(r["k"]), str(r["k"])))
+    got = texts.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("y").alias("y"), F.min("x").alias("x")).select(F.col("k").cast("string").alias("k"), "y", F.encode("x", "UTF-8").alias("x"))
     share = pool.agg(F.avg("y")).first()[0]
-    return fit([bytes(r["x"]) for r in got if r["y"] == 1], [bytes(r["x"]) for r in got if r["y"] == 0], share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((hash_order(k), k, y, x) for b in batches for k, y, x in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=lambda r: r[:2])
+        model = fit([r[3] for r in rows if r[2] == 1], [r[3] for r in rows if r[2] == 0], share)
+        yield pa.RecordBatch.from_pydict({"good": [model.good], "bad": [model.bad], "slope": [model.slope], "offset": [model.offset]}, schema=pa.schema([("good", pa.binary()), ("bad", pa.binary()), ("slope", pa.float64()), ("offset", pa.float64())]))
+
+    small_batches(docs.sparkSession)
+    found = got.repartition(1).mapInArrow(lean(run), "good binary, bad binary, slope double, offset double").first()
+    return Model(bytes(found["good"]), bytes(found["bad"]), found["slope"], found["offset"]) if found else fit([], [])
 
 
 def hash_order(key) -> int:

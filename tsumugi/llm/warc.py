@@ -28,10 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import scratch, small_batches, written
+from tsumugi.llm.common import looked_up, scratch, small_batches, written
 
 #: Uncompressed bytes of a frame and of a bundle, about.
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 64 << 20, 1
+#: Tasks that read bundles at most.
+READ_TASKS = 20_000
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 DATE = "2020-01-01T00:00:00Z"
 INDEX = "bundle string, record_id string, frame int, offset int, length int"
@@ -140,11 +142,12 @@ def planned(pages: DataFrame, *, key: str = "page_id", payload: str = "html", ur
     """Rows to write: id, uri, body, bytes, digest, refers_to (null: a response)."""
     body = F.coalesce(F.col(payload), F.lit(""))
     rows = pages.select(F.col(key).alias("id"), (F.col(url) if url else F.lit(None)).cast("string").alias("uri"), body.alias("body"), F.octet_length(body).cast("long").alias("bytes"), F.sha1(body.cast("binary")).alias("digest"))
-    # copies are counted on digests alone; bodies never meet in one task because they are equal
-    best = rows.filter(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1 and winner is not null").select("digest", "winner")
-    # each writing task needs only the groups of several rows
-    joined = rows.join(best, "digest", "left")
-    return joined.withColumn("refers_to", F.when(F.col("winner").isNotNull() & ~F.col("id").eqNullSafe(F.col("winner")), F.col("winner").cast("string"))).drop("winner")
+    # copies are found on digests alone, and bodies are dealt out by id: they don't meet in one task because they are equal
+    large = rows.filter(F.col("bytes") >= least_bytes).select("id", "digest")
+    best, _ = written(large.groupBy("digest").agg(F.max("id").alias("winner"), F.count(F.lit(1)).alias("n")).filter("n > 1 and winner is not null"), "warc-groups")
+    refers = looked_up(large, best, "digest", "n", "id").filter(F.col("winner").isNotNull() & ~F.col("id").eqNullSafe(F.col("winner")))
+    refers = refers.select(F.col("id").alias("__id"), F.col("digest").alias("__digest"), F.col("winner").cast("string").alias("refers_to")).distinct()
+    return rows.join(refers, rows["id"].eqNullSafe(refers["__id"]) & (rows["digest"] == refers["__digest"]), "left").select(*rows.columns, "refers_to")
 
 
 def write_archives(pages: DataFrame, folder: str, **options) -> DataFrame:
@@ -178,7 +181,7 @@ def write_archives(pages: DataFrame, folder: str, **options) -> DataFrame:
 def read_archives(index: DataFrame, *, payloads: bool = True) -> DataFrame:
     """Every record of the bundles that the index lists, payloads checked against their digests."""
     small_batches(index.sparkSession)
-    names = index.select("bundle").distinct()
+    names, _ = written(index.select("bundle").distinct(), "warc-bundles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,8 +200,8 @@ def read_archives(index: DataFrame, *, payloads: bool = True) -> DataFrame:
                     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(7)], names=[x.split()[0] for x in READ.split(", ")])
 
-    width = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return names.repartition(width, "bundle").mapInArrow(run, READ)
+    # dealt out in turn, so a task reads few bundles however small their names are
+    return names.repartition(max(1, min(names.count(), READ_TASKS))).mapInArrow(run, READ)
 
 
 def fetched(index: DataFrame, record_ids: list[str]) -> list[tuple[dict, bytes]]:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import BLANK_WORDS, byte_words, chunked, drop_path, expand, lean, mix, small_batches, squeeze, total_bytes, unpack_rows, written
+from tsumugi.llm.common import BLANK_WORDS, byte_words, chunked, drop_path, expand, lean, looked_up, mix, small_batches, squeeze, task_width, total_bytes, unpack_rows, written
 from tsumugi.llm.urls import components
 
 WORDS, PERCENT = 5, 75
@@ -147,7 +147,8 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     """key, n_shingles, component_id, one row per document."""
     spark = docs.sparkSession
     small_batches(spark)
-    bits = max(6, math.ceil(math.log2(max(1, total_bytes(docs, text) / RANGE_BYTES))))
+    size = total_bytes(docs, text)
+    bits, width = max(6, math.ceil(math.log2(max(1, size / RANGE_BYTES)))), task_width(spark, size)
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
     kind = source.schema["key"].dataType.simpleString()
     chunks, chunk_path = chunked(source, CHUNK_BYTES, "jaccard-chunks")
@@ -183,8 +184,7 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
         if held:
             yield flush(held)
 
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24)
-    counted = chunks.mapInArrow(lean(send), "part int, chunk_id long, marks binary").repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(lean(classify), "chunk_id long, part int, answer binary, payload binary")
+    counted = chunks.mapInArrow(lean(send), "part int, chunk_id long, marks binary").repartition(min(1 << bits, 2 * width), "part").sortWithinPartitions("part").mapInArrow(lean(classify), "chunk_id long, part int, answer binary, payload binary")
     both = counted.unionByName(chunks.select("chunk_id", F.lit(2**31 - 1).alias("part"), F.lit(None).cast("binary").alias("answer"), "payload"))
     both = both.repartition(width, "chunk_id").sortWithinPartitions("chunk_id", "part")
 
@@ -243,19 +243,19 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     named = posted.join(lists, "token").join(groups, posted.set_key == groups.node, "left").select("token", "set_key", "n", "role", F.coalesce("component", "set_key").alias("c"))
     open_ = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
     rest, _ = written(named.join(open_, "token", "left_semi"), "jaccard-open")
-    across = linked_blocks(rest, single, sketches)
+    across = linked_blocks(rest, single, sketches, width)
     second, _ = written(across, "jaccard-links")
     drop_path(spark, posted_path)
     groups = components(first.unionByName(second), src="a", dst="b") if not second.isEmpty() else groups
     groups, _ = written(groups, "jaccard-groups")
     joined = rows.join(groups, rows.set_key == groups.node, "left").select("key", "n", F.coalesce("component", "set_key").alias("g"))
     joined, _ = written(joined, "jaccard-rows")
-    least = joined.filter("g is not null").groupBy("g").agg(F.min("key").alias("component_id"))
-    out = joined.join(least, "g", "left")
+    least, _ = written(joined.filter("g is not null").groupBy("g").agg(F.min("key").alias("component_id"), F.count(F.lit(1)).alias("members")), "jaccard-least")
+    out = looked_up(joined, least, "g", "members", "key")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("g").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def linked_blocks(lists: DataFrame, sets: DataFrame, sketches: DataFrame) -> DataFrame:
+def linked_blocks(lists: DataFrame, sets: DataFrame, sketches: DataFrame, width: int = 24) -> DataFrame:
     """Links (a, b) between sets of different components ``c`` that share a list.
 
     Sets that lists connect form groups, dealt over blocks of about ``BLOCK`` sets: a large
@@ -282,8 +282,6 @@ def linked_blocks(lists: DataFrame, sets: DataFrame, sketches: DataFrame) -> Dat
     both = F.expr("flatten(transform(m, x -> transform(filter(m, y -> x.own <= y.own and (x.whole <> y.whole or x.whole = '')), y -> struct(x.own as block, y.own as block2))))")
     pairs = met.select(F.explode(both).alias("p")).select("p.*").distinct()
     sides = pairs.select(F.col("block").alias("own"), "block", "block2", F.lit(0).alias("side")).unionByName(pairs.filter("block <> block2").select(F.col("block2").alias("own"), "block", "block2", F.lit(1).alias("side")))
-    width = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), 24)
-
     rows = placed.select("own", "c", "set_key").join(sketches, "set_key").join(sides, "own").select("block", "block2", "side", "c", "set_key", "n", "shared", "marks")
     rows = rows.repartition(width, "block", "block2").sortWithinPartitions("block", "block2")
     likely, _ = written(rows.mapInArrow(lean(lambda batches: by_block(batches, proposed)), "block string, block2 string, side int, c long, a long, b long"), "jaccard-likely")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import expand, shared_root, small_batches, squeeze
+from tsumugi.llm.common import expand, looked_up, shared_root, small_batches, squeeze, written
 
 CACHE_SCHEMA = "content_sha256 binary, version_sha256 string, n_tokens long"
 #: Texts encoded together: bytes.
@@ -130,5 +130,8 @@ def token_counts(docs: DataFrame, tokenizer: str, *, cache: str | None = None, t
         keyed = source.mapInArrow(normalised, kinds + ", __key binary").withColumn("__bytes", F.octet_length("__text").cast("long"))
     else:
         keyed = docs.select(*keys, F.unhex(F.sha2(body, 256)).alias("__key"), F.octet_length(body).cast("long").alias("__bytes"))
-    joined = keyed.join(stored, F.col("__key") == F.col("content_sha256"), "left")
+    # how many rows share a content decides how they meet its count
+    shared = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("__rows"))
+    facts, _ = written(shared.join(stored, F.col("__key") == F.col("content_sha256")).select(F.col("__key").alias("content_sha256"), "__rows", "n_tokens"), "token-count-facts")
+    joined = looked_up(keyed.withColumnRenamed("__key", "content_sha256"), facts, "content_sha256", "__rows", keys[0])
     return joined.select(*keys, F.col("__bytes").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

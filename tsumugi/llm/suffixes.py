@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import chunked, expand, lean, mix, small_batches, squeeze, total_bytes, unpack_rows, written
+from tsumugi.llm.common import chunked, expand, lean, mix, small_batches, squeeze, task_width, total_bytes, unpack_rows, written
 
 LENGTH, GRAM = 400, 32
 #: Bytes of runs that one suffix array takes.
@@ -291,7 +291,9 @@ def removed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     """key, n_bytes, n_removed, n_spans, kept_sha256, spans, and with ``keep_text`` the kept bytes as text."""
     spark = docs.sparkSession
     small_batches(spark)
-    n_ranges = max(64, math.ceil(total_bytes(docs, text) / shard_bytes))
+    size = total_bytes(docs, text)
+    # a task sorts one range after another, so tasks needn't be as many as ranges
+    n_ranges, width = max(64, math.ceil(size / shard_bytes)), task_width(spark, 2 * size)
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
     kind = source.schema["key"].dataType.simpleString()
     chunks, _ = chunked(source, CHUNK_BYTES, "sa-chunks")
@@ -324,8 +326,7 @@ def removed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
         if held:
             yield flush(held)
 
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24)
-    tallies = chunks.mapInArrow(lean(send), "part int, chunk_id long, hashes binary").repartition(n_ranges, "part").sortWithinPartitions("part")
+    tallies = chunks.mapInArrow(lean(send), "part int, chunk_id long, hashes binary").repartition(min(n_ranges, 2 * width), "part").sortWithinPartitions("part")
     answers = tallies.mapInArrow(lean(count), "chunk_id long, part int, answer binary, payload binary")
     last = F.lit(2**31 - 1)
 
@@ -367,7 +368,7 @@ def removed_rows(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     # a range with more bytes than a shard may hold is dealt over several by chunk
     sizes = sent.groupBy("part").agg(F.ceil(F.sum("size") / shard_bytes).cast("int").alias("shards"))
     dealt = sent.join(sizes, "part").withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.greatest(F.lit(1), "shards")).cast("int"))
-    dealt = dealt.repartition(n_ranges, "part", "salt").sortWithinPartitions("part", "salt")
+    dealt = dealt.repartition(min(n_ranges, 4 * width), "part", "salt").sortWithinPartitions("part", "salt")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []

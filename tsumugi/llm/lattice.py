@@ -5,9 +5,7 @@ the sum over all its segmentations, by forward recursion in log space, and a doc
 product over its words and one end.  A word is spelled with the vocabulary's leading mark, and
 every byte can also be spelled by a fallback piece, so every text has a probability.  Piece
 probabilities start from the vocabulary's own scores (its ranks, read as a Zipf law) and are
-re-estimated by expectation-maximisation from all training words.  Words seen in training
-have an arc of their own, whose weight is their share of the training tokens; ``whole`` is the
-probability that a word is drawn so.
+re-estimated by expectation-maximisation from all training words, every step taking all of them.
 
 Counts are exact over all documents.  Tasks pack the distinct words of a chunk by hash range;
 one task per range sums them, and sends each chunk the counts and probabilities of its words.
@@ -30,11 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import BLANK_WORDS, byte_words, chunked, drop_path, expand, small_batches, squeeze, total_bytes, unpack_rows, written
+from tsumugi.llm.common import BLANK_WORDS, byte_words, chunked, drop_path, expand, small_batches, squeeze, task_width, total_bytes, unpack_rows, written
 
 CHUNK_BYTES, RANGE_BYTES = 4 << 20, 8 << 20
 MARK = "▁".encode()
-WHOLE, SMOOTH = 0.9, 0.1
+#: Uses that each piece has besides those counted; steps of the re-estimation.
+SMOOTH, STEPS = 0.1, 3
 #: Words whose lattices are computed together.
 BLOCK = 1 << 14
 END = b"\n"  # no word holds a line feed
@@ -214,11 +213,12 @@ def chunk_words(payload: bytes):
     return rows, texts, words, hashes[order], tally
 
 
-def scores(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", warm: int = 2, whole: float = WHOLE) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score (log10)."""
+def scores(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str = "text", steps: int = STEPS) -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     small_batches(spark)
-    n_ranges = max(64, math.ceil(total_bytes(docs, text) / RANGE_BYTES))
+    size = total_bytes(docs, text)
+    n_ranges, width = max(64, math.ceil(size / RANGE_BYTES)), task_width(spark, size)
     source = docs.select(F.col(key).alias("key"), train_flag(key).alias("train"), F.col(text).alias("body"))
     kind = source.schema["key"].dataType.simpleString()
     chunks, chunk_path = chunked(source, CHUNK_BYTES, "lm-chunks")
@@ -235,7 +235,7 @@ def scores(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
                     names=["part", "chunk_id", "words", "tally", "n"],
                 )
 
-    sent, sent_path = written(chunks.mapInArrow(send, "part int, chunk_id long, words binary, tally binary, n int").repartition(n_ranges, "part").sortWithinPartitions("part", "chunk_id"), "lm-words")
+    sent, sent_path = written(chunks.mapInArrow(send, "part int, chunk_id long, words binary, tally binary, n int").repartition(min(n_ranges, 2 * width), "part").sortWithinPartitions("part", "chunk_id"), "lm-words")
 
     def gather(batches: Iterator[pa.RecordBatch]):
         """For each hash range: the parts of the chunks, and its distinct words with their counts."""
@@ -270,7 +270,7 @@ def scores(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
     n, v = (int(x or 0) for x in vocab.agg(F.sum("n"), F.sum("v")).first())
     drop_path(spark, sent_path)
     logs = pieces(vocabulary).logs
-    for _ in range(warm + 1 if n else 0):
+    for _ in range(steps if n else 0):
         logs = re_estimated(vocab, vocabulary, logs)
     model = spark.sparkContext.broadcast(logs)  # one number for each piece of the vocabulary
 
@@ -290,9 +290,8 @@ def scores(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
                     begin = end + 1
                 yield pa.RecordBatch.from_arrays([pa.array(row["chunks"], pa.int64()), pa.array([row["part"]] * len(out), pa.int32()), pa.array(out, pa.binary()), pa.array([None] * len(out), pa.binary())], names=["chunk_id", "part", "answer", "payload"])
 
-    answers = vocab.repartition(max(24, min(n_ranges, 4096)), "part").mapInArrow(answer, "chunk_id long, part int, answer binary, payload binary")
+    answers = vocab.repartition(min(n_ranges, width), "part").mapInArrow(answer, "chunk_id long, part int, answer binary, payload binary")
     both = answers.unionByName(chunks.select("chunk_id", F.lit(n_ranges).alias("part"), F.lit(None).cast("binary").alias("answer"), "payload"))
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 24)
     both = both.repartition(width, "chunk_id").sortWithinPartitions("chunk_id", "part")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,19 +311,17 @@ def scores(docs: DataFrame, vocabulary: str, *, key: str = "doc_id", text: str =
         end = words.index(END)
         base = np.log10((counts + 0.1) / (n + 0.1 * (v + 1)))
         pure = lattice / math.log(10)
-        mixed = np.log10(whole * counts / max(1, n) + (1 - whole if n else 1.0) * 10 ** np.maximum(pure, -290.0))
-        mixed = np.where(pure < -290.0, np.maximum(mixed, np.where(counts > 0, mixed, pure + math.log10(1 - whole if n else 1.0))), mixed)
         place = {w: i for i, w in enumerate(words)}
         get = place.__getitem__
         at = [np.fromiter((get(w) for w in t), np.int64, len(t)) for t in texts]
         at = [np.append(a, end) for a in at]
         train = np.array(rows.column("train").to_pylist(), bool)
         return pa.RecordBatch.from_arrays(
-            [rows.column("key").combine_chunks(), pa.array(~train, pa.bool_()), pa.array([len(a) for a in at], pa.int64()), pa.array([int((counts[a] > 0).sum()) for a in at], pa.int64()), pa.array([n] * len(at), pa.int64()), pa.array([math.fsum(base[a].tolist()) for a in at], pa.float64()), pa.array([math.fsum(mixed[a].tolist()) for a in at], pa.float64()), pa.array([math.fsum(pure[a].tolist()) for a in at], pa.float64())],
-            names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score"],
+            [rows.column("key").combine_chunks(), pa.array(~train, pa.bool_()), pa.array([len(a) for a in at], pa.int64()), pa.array([int((counts[a] > 0).sum()) for a in at], pa.int64()), pa.array([n] * len(at), pa.int64()), pa.array([math.fsum(base[a].tolist()) for a in at], pa.float64()), pa.array([math.fsum(pure[a].tolist()) for a in at], pa.float64())],
+            names=["key", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    out = both.mapInArrow(finish, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, lattice_score double")
+    out = both.mapInArrow(finish, f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)
 
 

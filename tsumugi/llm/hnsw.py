@@ -9,7 +9,12 @@ computed again in double precision on the original vectors.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components are
 neither indexed nor queries; vectors of another length are no candidates; rows with a null id
-take no part; fewer candidates than ``k`` are all returned; ties go to the smaller id.
+take no part; fewer candidates than ``k`` are all returned; ties go to the smaller id.  Of rows
+that repeat an id every vector is indexed; an answer names the id once, by its best vector, and
+as a query it asks with its smallest vector.
+
+Tables below ``SHARD_ROWS * LEAST_TASKS`` rows are cut into smaller shards to keep so many tasks
+busy; as every shard is searched with the same beam, recall only rises by that.
 """
 
 from __future__ import annotations
@@ -28,6 +33,14 @@ from tsumugi.llm.common import small_batches, written
 LINKS, BUILD_BEAM, SEARCH_BEAM, BLOCK = 12, 64, 96, 256
 #: Distinct vectors of a shard at most, about.
 SHARD_ROWS = 1 << 14
+#: Below that, rows that a shard has at least while there are fewer shards than this many tasks.
+LEAST_ROWS, LEAST_TASKS = 2048, 12
+
+
+def scaled(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors divided by powers of two (exactly, so cosines stay and no square overflows), and unit vectors in single precision."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+    return x, (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
 
 
 def level_of(seeds: np.ndarray, links: int) -> np.ndarray:
@@ -191,8 +204,8 @@ def link(g: Graph, level: int, nodes: np.ndarray, near: np.ndarray) -> None:
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v array<float>) of the rows that take part."""
-    v = F.transform(F.col(vector), lambda e: e.cast("float") + F.lit(0.0).cast("float"))
+    """(id, v array<double>) of the rows that take part."""
+    v = F.transform(F.col(vector), lambda e: e.cast("double") + F.lit(0.0))
     rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null and size(v) > 0")
     fine = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     return rows.filter(fine)
@@ -212,19 +225,17 @@ def index(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     distinct = ranked.groupBy("h", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     members, _ = written(distinct, "vectors")
     n = members.count()
-    n_shards = max(1, math.ceil(n / shard_rows), min(n // 2048, 12))
+    n_shards = max(1, math.ceil(n / shard_rows), min(n // LEAST_ROWS, LEAST_TASKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
         for batch in batches:
             for shard, h, v, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault((shard, len(v)), []).append((h, np.array(v, np.float32), ids))
+                held.setdefault((shard, len(v)), []).append((h, np.array(v, np.float64), ids))
         for (shard, dim), rows in sorted(held.items()):
             rows.sort(key=lambda r: (r[0], r[2]))
             raw = np.stack([r[1] for r in rows])
-            norm = np.linalg.norm(raw.astype(np.float64), axis=1)
-            unit = (raw / norm[:, None]).astype(np.float32)
-            g = build(unit, np.array([r[0] for r in rows], np.int64).view(np.uint64))
+            g = build(scaled(raw)[1], np.array([r[0] for r in rows], np.int64).view(np.uint64))
             width = k + 1
             ids = np.array([r[2] + [-1] * (width - len(r[2])) for r in rows], np.int64)
             counts = np.array([len(r[2]) for r in rows], np.int32)
@@ -241,7 +252,7 @@ def index(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
 class Shard:
     def __init__(self, row: dict, k: int):
         n, dim = row["n"], row["dim"]
-        self.raw = np.frombuffer(row["vectors"], np.float32).reshape(n, dim).astype(np.float64)
+        self.raw, unit = scaled(np.frombuffer(row["vectors"], np.float64).reshape(n, dim))
         self.norm = np.sqrt((self.raw * self.raw).sum(1))
         self.ids = np.frombuffer(row["ids"], np.int64).reshape(n, k + 1)
         self.counts = np.frombuffer(row["counts"], np.int32)
@@ -251,13 +262,13 @@ class Shard:
             width = LINKS * (2 if level == 0 else 1)
             links.append(np.frombuffer(row["links"], np.int32, n * width, at).reshape(n, width))
             at += n * width * 4
-        self.graph = Graph((self.raw / self.norm[:, None]).astype(np.float32), levels, links, row["entry"])
+        self.graph = Graph(unit, levels, links, row["entry"])
 
     def answer(self, ids: np.ndarray, queries: np.ndarray, k: int, width: int) -> list[tuple[int, int, float]]:
         """(query, found, exact cosine), at most k for each query."""
-        q = queries.astype(np.float64)
+        q, unit = scaled(queries)
         norm = np.sqrt((q * q).sum(1))
-        nodes = self.graph.search((q / norm[:, None]).astype(np.float32), max(width, k + 1))
+        nodes = self.graph.search(unit, max(width, k + 1))
         out = []
         for i in range(len(ids)):
             at = nodes[i][nodes[i] >= 0]
@@ -266,7 +277,8 @@ class Shard:
             found = self.ids[at][np.arange(self.ids.shape[1])[None, :] < self.counts[at][:, None]]
             other = found != ids[i]
             found, s = found[other], score[keep][other]
-            order = np.lexsort((found, -s))[:k]
+            order = np.lexsort((found, -s))
+            order = order[np.sort(np.unique(found[order], return_index=True)[1])][:k]  # an id once, by its best vector
             out += [(int(ids[i]), int(found[j]), float(s[j])) for j in order]
         return out
 
@@ -274,9 +286,9 @@ class Shard:
 def search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = 5, width: int = SEARCH_BEAM, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query."""
     shards, _, n_shards = index(vectors, key=key, vector=vector, k=k, shard_rows=shard_rows)
-    asked = usable(queries, key, vector).dropDuplicates(["id"]).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    asked = usable(queries, key, vector).groupBy("id").agg(F.min("v").alias("v")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
     none = lambda *names: [F.lit(None).cast("binary").alias(x) for x in names]
-    rows = shards.select("shard", F.lit(0).alias("kind"), "dim", "n", "vectors", "ids", "counts", "links", "levels", "entry", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<float>").alias("v"))
+    rows = shards.select("shard", F.lit(0).alias("kind"), "dim", "n", "vectors", "ids", "counts", "links", "levels", "entry", F.lit(None).cast("long").alias("id"), F.lit(None).cast("array<double>").alias("v"))
     rows = rows.unionByName(asked.select("shard", F.lit(1).alias("kind"), F.size("v").alias("dim"), F.lit(0).alias("n"), *none("vectors", "ids", "counts", "links", "levels"), F.lit(0).alias("entry"), "id", "v"))
     # a shard's graphs come first, then the queries pass by in blocks
     rows = rows.repartition(n_shards, "shard").sortWithinPartitions("shard", "kind", "dim")
@@ -289,7 +301,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vecto
             def flush(found=found):
                 for dim, block in asked.items():
                     if dim in held:
-                        found += held[dim].answer(np.array([b[0] for b in block], np.int64), np.array([b[1] for b in block], np.float32), k, width)
+                        found += held[dim].answer(np.array([b[0] for b in block], np.int64), np.array([b[1] for b in block], np.float64), k, width)
                 asked.clear()
 
             for row in batch.to_pylist():
@@ -304,5 +316,5 @@ def search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vecto
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64())], names=["query_id", "vec_id", "score"])
 
     merged = rows.mapInArrow(run, "query_id long, vec_id long, score double")
-    ranked = merged.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
+    ranked = merged.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, vec_id)"))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

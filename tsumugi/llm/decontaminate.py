@@ -2,8 +2,8 @@
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z.  An item's windows
 are its runs of ``n`` consecutive words; an item of fewer words is one window of its own.  The
-set is broadcast only while the benchmark stays below ``max_broadcast_bytes``; beyond that the
-windows of documents and items meet in a shuffle join.
+set is broadcast only while the built index stays below ``max_broadcast_bytes``, which is
+computed from the benchmark's words before anything is collected; beyond that the windows of documents and items meet in a shuffle join.
 
 Defined results: null or empty texts have no words and no hits; an item without words has no
 windows; items with a null id mark words but are not counted; repeated item ids count once;
@@ -22,28 +22,39 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import ALNUM_WORDS, as_bytes, byte_words, lean, small_batches, total_bytes
+from tsumugi.llm.common import ALNUM_WORDS, as_bytes, byte_words, lean, small_batches
 
 WORD = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-MAX_BROADCAST_BYTES = 32 << 20
+#: Bytes that the built index may take, by ``index_bytes``.
+MAX_BROADCAST_BYTES = 64 << 20
 OUT = "row_key binary, hit_runs array<struct<start: int, end: int>>, n_words long, n_hit long, n_items long, items_sha256 string"
 
 
 class WindowIndex:
-    """Windows of the items by length: sorted hashes, and the word ids for verification."""
+    """Windows of the items by length, in arrays: sorted hashes, the word ids for verification, and the items of each."""
 
     def __init__(self, items: list[tuple[object, bytes]], n: int):
         self.vocab: dict[bytes, int] = {}
-        self.windows: dict[int, dict[tuple[int, ...], set[str]]] = {}
+        names: dict[str, int] = {}
+        parts: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
             words = byte_words(text, ALNUM_WORDS)
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
+            ids = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for w in words], np.uint32)
             m = min(n, len(ids))
-            for i in range(len(ids) - m + 1 if m else 0):
-                held = self.windows.setdefault(m, {}).setdefault(tuple(ids[i : i + m]), set())
-                if item is not None:
-                    held.add(str(item))
-        self.hashes = {m: np.unique(self.hash_of(np.array(list(w), np.uint64))) for m, w in self.windows.items()}
+            if m:
+                parts.setdefault(m, []).append((np.lib.stride_tricks.sliding_window_view(ids, m), -1 if item is None else names.setdefault(str(item), len(names))))
+        self.names = list(names)
+        #: length: (hashes, word ids, where the items of each window begin, items)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
+        for m, own in parts.items():
+            rows, place = np.unique(np.concatenate([w for w, _ in own]), axis=0, return_inverse=True)
+            hashes = self.hash_of(rows.astype(np.uint64))
+            order = np.argsort(hashes, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            pairs = np.unique(np.stack([rank[place.ravel()], np.repeat([i for _, i in own], [len(w) for w, _ in own])], 1), axis=0)
+            pairs = pairs[pairs[:, 1] >= 0]
+            self.windows[m] = (hashes[order], rows[order], np.searchsorted(pairs[:, 0], np.arange(len(order) + 1)), pairs[:, 1].astype(np.int32))
 
     @staticmethod
     def hash_of(ids: np.ndarray) -> np.ndarray:
@@ -59,7 +70,7 @@ class WindowIndex:
         ids = np.fromiter(map(self.vocab.get, words, repeat(0)), np.uint64, n)
         gaps = np.concatenate(([0], np.cumsum(ids == 0)))
         cover, items = np.zeros(n + 1, np.int64), set()
-        for m, hashes in self.hashes.items():
+        for m, (hashes, held, starts, owners) in self.windows.items():
             if n < m:
                 continue
             at = np.flatnonzero(gaps[m:] == gaps[:-m])
@@ -67,17 +78,31 @@ class WindowIndex:
                 continue
             rows = ids[at[:, None] + np.arange(m)]
             keys = self.hash_of(rows)
-            near = hashes[np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)]
-            windows = self.windows[m]
-            for k in np.flatnonzero(near == keys):
-                found = windows.get(tuple(rows[k].tolist()))  # the hash only proposes; the words decide
-                if found is not None:
-                    cover[at[k]] += 1
-                    cover[at[k] + m] -= 1
-                    items |= found
+            place = np.searchsorted(hashes, keys)
+            open_ = np.flatnonzero(place < len(hashes))
+            while len(open_):  # windows of equal hash lie side by side
+                open_ = open_[hashes[place[open_]] == keys[open_]]
+                same = (held[place[open_]] == rows[open_]).all(1)  # the hash only proposes; the words decide
+                np.add.at(cover, at[open_[same]], 1)
+                np.add.at(cover, at[open_[same]] + m, -1)
+                for p in np.unique(place[open_[same]]).tolist():
+                    items.update(owners[starts[p] : starts[p + 1]].tolist())
+                open_ = open_[~same]
+                place[open_] += 1
+                open_ = open_[place[open_] < len(hashes)]
         hit = np.concatenate(([0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]))
         edge = np.flatnonzero(np.diff(hit))
-        return n, list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), items
+        return n, list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)), {self.names[i] for i in items}
+
+
+def words_of(column: str) -> F.Column:
+    return F.regexp_extract_all(F.translate(F.coalesce(F.col(column), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))
+
+
+def index_bytes(items: DataFrame, n: int) -> int:
+    """What the index of ``items`` takes at most: for each word a window of ``n`` ids, a hash, a place and an item, and an entry of the dictionary of words."""
+    n_words, size = items.agg(F.sum(F.size(words_of("item_text")).cast("long")), F.sum(F.octet_length("item_text").cast("long"))).first()
+    return (n_words or 0) * (4 * n + 20 + 120) + (size or 0)
 
 
 def items_digest(items: set[str]) -> str:
@@ -90,7 +115,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", tex
     small_batches(spark)
     docs = docs.select(F.col(key).alias("doc_key"), F.col(text).alias("doc_text"))
     items = benchmark.select(F.col(item).alias("item_key"), F.col(item_text).alias("item_text"))
-    if total_bytes(items, "item_text") > max_broadcast_bytes:
+    if index_bytes(items, n) > max_broadcast_bytes:
         return joined_hits(docs, items, n).withColumnRenamed("doc_key", key)
     rows = [(r[0], (r[1] or "").encode()) for r in items.collect()]
     index = spark.sparkContext.broadcast(WindowIndex(rows, n))
@@ -120,17 +145,19 @@ def joined_hits(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
 
     Documents are keyed by content, so repeated rows are scanned once and matched once.
     """
-    words = lambda c: F.regexp_extract_all(F.translate(F.coalesce(F.col(c), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"([^\x00-\x2F\x3A-\x60\x7B-\x7F]+)"))
     window = lambda m: F.expr(f"transform(sequence(0, size(w) - {m}), i -> struct(i, array_join(slice(w, i + 1, {m}), ' ') as g))")
-    listed = items.select("item_key", words("item_text").alias("w")).filter(F.size("w") > 0).withColumn("m", F.least(F.lit(n), F.size("w")))
+    listed = items.select("item_key", words_of("item_text").alias("w")).filter(F.size("w") > 0).withColumn("m", F.least(F.lit(n), F.size("w")))
     listed = listed.withColumn("x", F.explode(F.expr("transform(sequence(0, size(w) - m), i -> array_join(slice(w, i + 1, m), ' '))"))).select("item_key", "m", F.col("x").alias("g")).distinct()
-    found = docs.withColumn("row_key", F.unhex(F.sha2(F.coalesce(F.col("doc_text"), F.lit("")), 256))).withColumn("w", words("doc_text"))
+    found = docs.withColumn("row_key", F.unhex(F.sha2(F.coalesce(F.col("doc_text"), F.lit("")), 256))).withColumn("w", words_of("doc_text"))
     distinct = found.select("row_key", "w").dropDuplicates(["row_key"])
     parts = None
-    for m in range(1, n + 1):
+    # only lengths that some item has: n, and those of shorter items
+    for m in sorted(r["m"] for r in listed.select("m").distinct().collect()):
         part = distinct.filter(F.size("w") >= m).select("row_key", F.explode(window(m)).alias("x")).select("row_key", F.col("x.i").alias("i"), F.col("x.g").alias("g"), F.lit(m).alias("m"))
         part = part.join(listed, ["m", "g"])
         parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        parts = distinct.filter(F.lit(False)).select("row_key", F.lit(0).alias("i"), F.lit(0).alias("m"), F.lit("").alias("item_key"))
     per_doc = parts.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("i", "m"))).alias("at"), F.array_sort(F.collect_set(F.col("item_key").cast("string"))).alias("ids"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +217,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select("item_id", "text")
-    if total_bytes(items, "text") > max_broadcast_bytes:
+    if index_bytes(items.toDF("item_key", "item_text"), n) > max_broadcast_bytes:
         return cut_by_join(docs, items.toDF("item_key", "item_text"), text, n, drop_items)
     index = spark.sparkContext.broadcast(WindowIndex([(r[0], (r[1] or "").encode()) for r in items.collect()], n))
     place = docs.columns.index(text)

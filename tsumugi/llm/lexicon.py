@@ -8,7 +8,8 @@ Words that it lacks are merged exactly, by the merge ranks of the vocabulary.
 
 Defined results: null and empty texts have no ids and decode to the empty text; special
 strings inside a text become their id, as the library does by default; repeated rows are
-encoded each; texts of any length are encoded whole.
+encoded each; texts of any length are encoded whole; a vocabulary file with a normaliser, another
+split or other merging rules is refused with a ValueError.
 """
 
 from __future__ import annotations
@@ -147,12 +148,22 @@ def mapped(path: str) -> Automaton:
         return Automaton(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
 
+def refuse_others(path: str, spec: dict) -> None:
+    """Raise for a file whose rules this module doesn't follow, instead of answering wrongly."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    split = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not (plain and split and not spec.get("normalizer")) or any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens") or []):
+        raise ValueError(f"{path} isn't a plain byte-level BPE vocabulary")
+
+
 class Vocabulary:
     """A byte-level BPE vocabulary file of the tokenizers library, with exact merging and decoding."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_others(path, spec)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
         to_byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}

@@ -67,15 +67,31 @@ QUERIES = {f.__name__: f for f in (op1_url_filters, op2_nearest_neighbours, op3_
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_NODE = "CASE WHEN contains({0}, '://') THEN " + _LOWER.format("regexp_extract({0}, '(?s)^(.*?://[^/?#]*)', 1)") + " || regexp_extract({0}, '(?s)^.*?://[^/?#]*([^#]*)', 1) ELSE {0} END"
+_CANONICAL, _REFRESH = (f"regexp_extract(html, '(?is)<{tag}[^>]*>')" for tag in (r"link\b[^>]*\brel\s*=\s*[\"'']?canonical\b", r"meta\b[^>]*\bhttp-equiv\s*=\s*[\"'']?refresh\b"))
+
 ORACLES = {
-    "op1_url_filters": """
-WITH u AS (SELECT page_id,
-    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+    "op1_url_filters": rf"""
+WITH RECURSIVE t AS (SELECT url, {_CANONICAL} AS c, {_REFRESH} AS f, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS origin,
+    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+g AS (SELECT url, origin, path, CASE WHEN regexp_extract(c, '(?is)\bhref\s*=\s*"([^"]*)"', 1) <> '' THEN regexp_extract(c, '(?is)\bhref\s*=\s*"([^"]*)"', 1)
+    ELSE regexp_extract(c, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) END AS x FROM t
+    UNION ALL SELECT url, origin, path, regexp_extract(f, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) FROM t),
+w AS (SELECT url, CASE WHEN contains(x, '://') THEN x WHEN starts_with(x, '//') THEN regexp_extract(origin, '^([^:]*:)', 1) || x WHEN origin = '' THEN NULL
+    WHEN starts_with(x, '/') THEN origin || x WHEN starts_with(x, '?') THEN origin || path || x
+    ELSE origin || CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '(?s)^(.*/)', 1) END || x END AS target FROM g WHERE x <> '' AND NOT starts_with(x, '#')),
+e AS (SELECT {_NODE.format("url")} AS src, {_NODE.format("target")} AS dst FROM w WHERE target IS NOT NULL),
+links AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
+reach(n, m) AS (SELECT src, src FROM links UNION SELECT reach.n, links.dst FROM reach JOIN links ON reach.m = links.src),
+every AS (SELECT DISTINCT url FROM pages UNION SELECT src FROM links),
+u AS (SELECT url, {_LOWER.format("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM every),
 r(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
 m AS (SELECT u.*, (SELECT max(struct_pack(n := length(h || p), r := h || p, v := v)) FROM r
-    WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)) AS best FROM u)
-SELECT page_id, host, path, best.r AS rule, coalesce(best.v, 'allow') AS verdict FROM m""",
+    WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)) AS best FROM u),
+blocked AS (SELECT DISTINCT reach.n FROM reach JOIN m ON m.url = reach.m WHERE m.best.v = 'block')
+SELECT page_id, host, path, best.r AS rule, coalesce(best.v, CASE WHEN blocked.n IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM pages JOIN m ON pages.url IS NOT DISTINCT FROM m.url LEFT JOIN blocked ON blocked.n = {_NODE.format("pages.url")}""",
     "op4_decontamination": rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

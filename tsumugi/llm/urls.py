@@ -7,6 +7,7 @@ found by alternating large-star and small-star rounds on the edge table, each ro
 the shared folder, so no node's edges and no component is ever gathered in one task.
 
 Defined results: null urls and urls without ``://`` have an empty host and path and no rule;
+urls that differ in the case of scheme or host or in the fragment are one node;
 pages without edges are their own component; repeated rows are judged each; empty tables give
 no rows; rules of equal length can't both be longest for one url unless they are the same rule,
 in which case block loses to allow.
@@ -54,8 +55,18 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.lit(None).cast("struct<rule: string, verdict: string>") if out is None else out
 
 
+def url_node(url: Column) -> Column:
+    """The url as a node: scheme and host lower-cased, no fragment.  Without ``://`` the text itself."""
+    head = F.translate(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), UPPER, LOWER)
+    return F.when(url.contains("://"), F.concat(head, F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))).otherwise(url)
+
+
 def alias_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) urls from canonical links and from refreshing meta tags; relative targets are resolved against the page's host."""
+    """(src, dst) nodes from canonical links and from refreshing meta tags.
+
+    Relative targets are resolved against the page: its scheme, host, path, or the folder of its
+    path; dot segments stay as written.  Pages whose url has no ``://`` have full targets only.
+    """
     body = F.coalesce(F.col(html), F.lit(""))
     tag = lambda pattern: F.regexp_extract(body, pattern, 0)
     link = F.regexp_extract(tag(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
@@ -65,9 +76,10 @@ def alias_edges(pages: DataFrame, *, url: str = "url", html: str = "html") -> Da
     targets = F.array(F.when(link_before != "", link_before).otherwise(link), meta)
     # the cheap test first: most pages have neither tag
     rows = pages.filter(F.col(url).isNotNull() & (F.lower(body).contains("canonical") | F.lower(body).contains("refresh")))
-    rows = rows.select(F.col(url).alias("src"), origin.alias("origin"), F.explode(targets).alias("t")).filter("t <> ''")
-    full = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(F.regexp_extract("origin", "^([^:]*:)", 1), F.col("t"))).when(F.col("t").startswith("/"), F.concat("origin", "t")).otherwise(F.concat_ws("/", "origin", "t"))
-    return rows.select("src", full.alias("dst")).filter("src <> dst")
+    rows = rows.select(F.col(url).alias("src"), origin.alias("origin"), url_path(F.col(url)).alias("path"), F.explode(targets).alias("t")).filter("t <> '' and t not like '#%'")
+    folder = F.when(F.col("path") == "", F.lit("/")).otherwise(F.regexp_extract("path", r"(?s)^(.*/)", 1))
+    full = F.when(F.col("t").contains("://"), F.col("t")).when(F.col("t").startswith("//"), F.concat(F.regexp_extract("origin", "^([^:]*:)", 1), F.col("t"))).when(F.col("origin") == "", F.lit(None)).when(F.col("t").startswith("/"), F.concat("origin", "t")).when(F.col("t").startswith("?"), F.concat("origin", "path", "t")).otherwise(F.concat("origin", folder, "t"))
+    return rows.select(url_node(F.col("src")).alias("src"), url_node(full).alias("dst")).filter("src <> dst")
 
 
 def components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -97,11 +109,15 @@ def components(edges: DataFrame, *, src: str = "src", dst: str = "dst", max_roun
 
 
 def judged(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: str = "url", html: str | None = "html", edges: DataFrame | None = None) -> DataFrame:
-    """key, host, path, rule, verdict, component (the smallest alias url; null without aliases)."""
+    """key, host, path, rule, verdict, component (the smallest alias url; null without aliases).
+
+    ``edges`` (src, dst urls) takes the place of the links found in ``html``, as from a crawl's redirects.
+    """
+    edges = edges.select(url_node(F.col("src")).alias("src"), url_node(F.col("dst")).alias("dst")).filter("src <> dst") if edges is not None else None
     edges = alias_edges(pages, url=url, html=html) if edges is None and html else edges
     base = pages.select(F.col(key).alias("key"), F.col(url).alias("url"))
     base = base.select("key", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    base = base.withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
+    base = base.withColumn("aka", url_node(F.col("url"))).withColumn("own", rule_of(F.col("host"), F.col("path"), rules))
     own_rule, own_verdict = F.col("own.rule").alias("rule"), F.col("own.verdict")
     held, held_path = written(edges, "alias-edges") if edges is not None else (None, None)
     if held is None or held.isEmpty():
@@ -111,5 +127,5 @@ def judged(pages: DataFrame, rules: list[Rule], *, key: str = "page_id", url: st
     node = groups.withColumn("r", rule_of(url_host(F.col("node")), url_path(F.col("node")), rules))
     blocked = node.groupBy("component").agg(F.max(F.col("r.verdict") == "block").alias("blocked"))
     alias = groups.join(blocked, "component")
-    joined = base.join(alias, base.url == alias.node, "left")
+    joined = base.join(alias, base.aka == alias.node, "left")
     return joined.select(F.col("key").alias(key), "host", "path", own_rule, F.coalesce(own_verdict, F.when(F.col("blocked"), "block"), F.lit("allow")).alias("verdict"), "component")

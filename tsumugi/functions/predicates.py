@@ -40,10 +40,12 @@ SURU_PARTS = ("しま", "した", "して", "しな", "しよ", "しろ", "せ
 STEM_ENDINGS = ("り", "い", "き", "し", "ち", "に", "び", "み")
 SURU_ENDING = "く[しすせさ][あいうえおんたてますだでだったれろよかっきけくなどもば]"
 SPATIAL_NOUNS = (
-    "前 後 上 下 外 内 奥 手前 端 先 横 隣 側 右 左 右辺 左辺 右側 左側 向こう側 両側 東 西 南 北 東側 西側 南側 北側 "
-    "前部 後部 内側 外側 内部 外部 中心 周り 隅 縁 面 前面 後面 正面 背面 表面 裏面 側面 裏 前方 後方 方 方向 "
-    "元 足元 手元 近く 遠く 辺 辺り そば かたわら 所 こちら そちら あちら どちら 向こう"
-).split()
+    "前", "後", "上", "下", "外", "内", "奥", "手前", "端", "先", "横", "隣", "側", "右", "左", "右辺",
+    "左辺", "右側", "左側", "向こう側", "両側", "東", "西", "南", "北", "東側", "西側", "南側", "北側", "前部", "後部", "内側",
+    "外側", "内部", "外部", "中心", "周り", "隅", "縁", "面", "前面", "後面", "正面", "背面", "表面", "裏面", "側面", "裏",
+    "前方", "後方", "方", "方向", "元", "足元", "手元", "近く", "遠く", "辺", "辺り", "そば", "かたわら", "所", "こちら", "そちら",
+    "あちら", "どちら", "向こう",
+)
 
 
 def has(*tags: str, of: Column | str = "pos") -> Column:

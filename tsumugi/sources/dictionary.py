@@ -41,7 +41,12 @@ def parsed(xml: DataFrame, schema: str) -> DataFrame:
 
 def entries(spark: SparkSession, path: str) -> DataFrame:
     """(seq, k_ele, r_ele, sense) of a dictionary file, plain or gzipped; a seq that is no number is null."""
-    e = parsed(pieces(spark, path, "entry"), ENTRY).filter("e.ent_seq is not null")
+    return entries_of(pieces(spark, path, "entry"))
+
+
+def entries_of(xml: DataFrame) -> DataFrame:
+    """The same of a table of elements (xml)."""
+    e = parsed(xml, ENTRY).filter("e.ent_seq is not null")
     return e.select(F.expr("try_cast(e.ent_seq as int)").alias("seq"), *[F.coalesce(f"e.{c}", F.array()).alias(c) for c in ("k_ele", "r_ele", "sense")])
 
 
@@ -106,7 +111,12 @@ def entry_counts(found: DataFrame) -> DataFrame:
 
 def kanji(spark: SparkSession, path: str) -> DataFrame:
     """(kanji, radical_c, radical_n, grade, strokes, freq, groups): the radical's classical number is 1 where none is given."""
-    c = parsed(pieces(spark, path, "character"), KANJI).filter("e.literal is not null")
+    return kanji_of(pieces(spark, path, "character"))
+
+
+def kanji_of(xml: DataFrame) -> DataFrame:
+    """The same of a table of elements (xml)."""
+    c = parsed(xml, KANJI).filter("e.literal is not null")
     radical = lambda kind: F.coalesce(F.get(F.filter("e.radical.rad_value", lambda r: r["_rad_type"] == kind), 0)["_VALUE"], F.lit(1))
     return c.select(F.col("e.literal").alias("kanji"), radical("classical").alias("radical_c"), radical("nelson_c").alias("radical_n"), F.col("e.misc.grade").alias("grade"), F.get("e.misc.stroke_count", 0).alias("strokes"), F.col("e.misc.freq").alias("freq"), F.coalesce("e.reading_meaning.rmgroup", F.array()).alias("groups"))
 
@@ -148,7 +158,11 @@ def short_place(name: Column, reading: Column) -> Column:
 
 def municipalities(spark: SparkSession, path: str) -> DataFrame:
     """(id, text, reading, kind, full_name): prefectures, municipalities, and these without their last sign."""
-    raw = spark.read.schema("id string, pref string, name string, pref_kana string, name_kana string").csv(path)
+    return municipalities_of(spark.read.schema("id string, pref string, name string, pref_kana string, name_kana string").csv(path))
+
+
+def municipalities_of(raw: DataFrame) -> DataFrame:
+    """The same of the file's rows (id, pref, name, pref_kana, name_kana)."""
     own = F.coalesce(F.nullif(F.trim("name"), F.lit("")), F.lit(""))
     is_pref = (own == "") | F.col("name_kana").isNull()
     reading = hiragana_of(F.when(is_pref, F.col("pref_kana")).otherwise(F.col("name_kana")))
@@ -169,7 +183,12 @@ def wards(spark: SparkSession, path: str) -> DataFrame:
     the order is that of the file.
     """
     raw = spark.read.schema("id string, text string, reading string").csv(path)
-    lines = raw.select("*", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n")).filter("text is not null")
+    return wards_of(raw.select("*", F.col("_metadata.file_path").alias("f"), F.monotonically_increasing_id().alias("n")))
+
+
+def wards_of(rows: DataFrame) -> DataFrame:
+    """The same of lines (id, text, reading) of files ``f``, in the order of ``n``."""
+    lines = rows.filter("text is not null")
     before = Window.partitionBy("f").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     city = F.when(F.col("text").endswith("市"), F.struct("text", "reading"))
     rows = lines.withColumn("city", F.last(city, ignorenulls=True).over(before)).filter(F.col("text").endswith("区") & F.col("city").isNotNull())

@@ -25,8 +25,8 @@ def substrings(texts: DataFrame, longest: int, *, key: str = "sent_id", text: st
 def lexicon_hits(texts: DataFrame, lexicon: DataFrame, *, key: str = "sent_id", text: str = "text", longest: int = 50) -> DataFrame:
     """Substrings that the lexicon (text, seq, ord, common, script) has, with scores.
 
-    The lexicon is broadcast only where Spark's own size threshold allows it; substrings are made
-    of distinct texts and cut at the longest entry.
+    The lexicon is broadcast only where Spark's own size threshold allows it.  Substrings are cut at
+    the longest entry, and at ``longest`` characters: longer entries aren't found.
     """
     most = min(longest, lexicon.agg(F.max(F.length("text"))).first()[0] or 1)
     parts = substrings(texts, most, key=key, text=text)
@@ -53,7 +53,8 @@ def neighbours(rules: list[dict], left: dict, right: dict) -> list[int] | None:
 
     None where a must-follow rule forbids the pair.  A rule: {"kind": synergy, penalty or follow,
     "left": tags, "right": tags, "score", "by_left", "by_right": score per character}.  A follow
-    rule lets a right segment of its tags stand only after a left one of its tags.
+    rule lets a right segment of its tags stand only after a left one of its tags, and with ``free``
+    where nothing stands before it.
     """
     fits = lambda rule, side, tags: not rule.get(side) or bool(tags & set(rule[side]))
     gains, penalty = [], 0
@@ -89,7 +90,7 @@ def paths_of(n: int, segments: list[dict], rules: list[dict], k: int) -> list[tu
             gaps[at] = top([(value + GAP, path) for value, path in before])
         for x in by_start.get(at, []):
             step, alone = (x["start"], x["end"], x["seq"]), {"start": at, "end": at, "tags": set()}
-            first = neighbours([r for r in rules if r["kind"] == "follow"], alone, x)
+            first = neighbours([r for r in rules if r["kind"] == "follow" and not r.get("free")], alone, x)
             found = [(value + x["score"], (*path, step)) for value, path in gaps[at]] if first is not None else []
             for last, paths in ended[at]:
                 for gain in neighbours(rules, last, x) or []:

@@ -13,7 +13,7 @@ SHARED = {
     # joins
     "text_seq_lookup": "SELECT o_orderkey, o_orderstatus, c_name FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'",
     "lexicon_rootonly": "SELECT p_partkey, p_name, count(l_orderkey) AS uses FROM {part} JOIN {lineitem} ON p_partkey = l_partkey WHERE p_size < 10 GROUP BY p_partkey, p_name",
-    "no_conj_anti": "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey)",
+    "no_conj_anti": "SELECT c_custkey, c_name FROM {customer} WHERE NOT EXISTS (SELECT 1 FROM {orders} WHERE o_custkey = c_custkey AND o_orderstatus = 'P')",
     "non_arch_anti": "SELECT d.lang, count(*) AS n FROM {documents} d LEFT ANTI JOIN (SELECT doc_id FROM {labels} WHERE quality = 0) l ON d.doc_id = l.doc_id GROUP BY d.lang",
     "arch_semi_every": "SELECT o_orderkey, o_totalprice FROM {orders} WHERE o_orderkey IN (SELECT l_orderkey FROM {lineitem} GROUP BY l_orderkey HAVING bool_and(l_quantity > 20))",
     "parent_case_key": "SELECT n_name, count(*) AS n FROM {customer} JOIN {nation} ON n_nationkey = CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE c_nationkey END GROUP BY n_name",
@@ -43,7 +43,7 @@ SHARED = {
     # set operations
     "set_union": "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey AS k FROM {supplier}",
     "set_union_all": "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM {customer} UNION ALL SELECT s_nationkey AS k FROM {supplier}) t GROUP BY k",
-    "set_except": "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey AS k FROM {lineitem}",
+    "set_except": "SELECT p_partkey AS k FROM {part} EXCEPT SELECT l_partkey AS k FROM {lineitem} WHERE l_quantity > 45 AND l_returnflag = 'R'",
     "intersect_match": "SELECT o_custkey AS k FROM {orders} WHERE o_orderstatus = 'O' INTERSECT SELECT o_custkey AS k FROM {orders} WHERE o_orderstatus = 'F'",
     # corrections
     "errata_patch_update": "SELECT p_partkey, coalesce(x.new_name, p_name) AS p_name FROM {part} LEFT JOIN (VALUES (1, 'renamed one'), (7, 'renamed seven')) AS x(k, new_name) ON p_partkey = x.k",
@@ -61,9 +61,9 @@ SHARED = {
     "sequence_match": "SELECT conv_id, turn FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r1, lead(role, 2) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r2 FROM {conversations}) t WHERE role = 'user' AND r1 = 'assistant' AND r2 = 'user'",
     "optional_alt_match": "SELECT conv_id, turn, CASE WHEN r1 = 'assistant' THEN 2 ELSE 1 END AS width FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r1 FROM {conversations}) t WHERE role IN ('user', 'system')",
     "not_peek_match": "SELECT conv_id, turn FROM (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS r1 FROM {conversations}) t WHERE role = 'user' AND coalesce(r1, '') <> 'assistant'",
-    "repeat_run_match": "SELECT conv_id, role, count(*) AS n, min(turn) AS first_turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - row_number() OVER (PARTITION BY conv_id, role ORDER BY turn, text) AS g FROM {conversations}) t GROUP BY conv_id, role, g HAVING count(*) >= 2",
+    "repeat_run_match": "SELECT user_id, event_type, count(*) AS n, min(event_id) AS first_event FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS g FROM {events}) t GROUP BY user_id, event_type, g HAVING count(*) >= 2",
     "token_predicates": "SELECT conv_id, turn, role = 'user' AS is_user, text LIKE 'T%' AS starts_t, length(text) <= 60 AS is_short FROM {conversations}",
-    "like_prefix_contains": "SELECT p_partkey FROM {part} WHERE p_name LIKE 'P%' AND p_type LIKE '%E%'",
+    "like_prefix_contains": "SELECT p_partkey FROM {part} WHERE p_name LIKE 'cold%' AND p_type LIKE '%E%'",
 }
 
 #: The same operator in two dialects: Spark, DuckDB.

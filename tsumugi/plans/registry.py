@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tsumugi.plans import japanese, relational
+from tsumugi.plans import engine, japanese, relational, windows
 
-QUERIES = relational.QUERIES | japanese.QUERIES
-ORACLES = relational.ORACLES | japanese.ORACLES
+QUERIES = relational.QUERIES | japanese.QUERIES | windows.QUERIES | engine.QUERIES
+ORACLES = relational.ORACLES | japanese.ORACLES | windows.ORACLES | engine.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

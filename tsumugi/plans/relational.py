@@ -75,9 +75,9 @@ PAIRS = {
     "char_usage_distinct": ("SELECT c, count(DISTINCT p_partkey) AS n FROM (SELECT p_partkey, explode(split(p_name, '')) AS c FROM {part}) t WHERE c <> '' GROUP BY c", "SELECT c, count(DISTINCT p_partkey) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, '')) AS c FROM part) t WHERE c <> '' GROUP BY c"),
     "carry_forward": ("SELECT event_id, coalesce(last(CASE WHEN event_type = 'purchase' THEN event_id END, true) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS parent FROM {events}", "SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS parent FROM events"),
     "basic_split_words": ("SELECT w, count(*) AS n FROM (SELECT explode(regexp_extract_all(text, '([a-z]+)')) AS w FROM {documents}) t GROUP BY w", "SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents) t GROUP BY w"),
-    "sentence_split": ("SELECT doc_id, i, s FROM (SELECT doc_id, posexplode(regexp_extract_all(text, '([^.!?]+[.!?]?)')) AS (i, s) FROM {documents}) t", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, s FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]+[.!?]?')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?]+[.!?]?'), 1) AS i FROM documents) t WHERE i <= 3"),
+    "sentence_split": ("SELECT doc_id, i, s FROM (SELECT doc_id, posexplode(regexp_extract_all(text, '([^.!?]+[.!?]?)')) AS (i, s) FROM {documents}) t", "SELECT doc_id, CAST(i - 1 AS INTEGER) AS i, s FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?]+[.!?]?')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?]+[.!?]?'), 1) AS i FROM documents) t"),
     "consecutive_runs": ("SELECT doc_id, size(regexp_extract_all(text, '([0-9]+)')) AS digits, size(regexp_extract_all(text, '([A-Z]+)')) AS capitals FROM {documents}", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[0-9]+')) AS INTEGER) AS digits, CAST(len(regexp_extract_all(text, '[A-Z]+')) AS INTEGER) AS capitals FROM documents"),
-    "substring_lexicon_join": ("SELECT u.w, x.k, u.i, length(x.k) AS n FROM (SELECT w, i, explode(sequence(1, least(4, length(w) - i + 1))) AS l FROM (SELECT w, explode(sequence(1, length(w))) AS i FROM (SELECT DISTINCT explode(regexp_extract_all(text, '([a-z]+)')) AS w FROM {documents}) t) v) u JOIN (VALUES ('the'), ('tion'), ('er'), ('ing')) AS x(k) ON substring(u.w, u.i, u.l) = x.k", "SELECT t.w, x.k, CAST(s.i AS INTEGER) AS i, length(x.k) AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents) t, generate_series(1, 60) s(i), (VALUES ('the'), ('tion'), ('er'), ('ing')) AS x(k) WHERE s.i <= length(t.w) AND substring(t.w, s.i, length(x.k)) = x.k"),
+    "substring_lexicon_join": ("SELECT u.w, x.k, u.i, length(x.k) AS n FROM (SELECT w, i, explode(sequence(1, least(4, length(w) - i + 1))) AS l FROM (SELECT w, explode(sequence(1, length(w))) AS i FROM (SELECT DISTINCT explode(regexp_extract_all(text, '([a-z]+)')) AS w FROM {documents}) t) v) u JOIN (VALUES ('the'), ('tion'), ('er'), ('ing')) AS x(k) ON substring(u.w, u.i, u.l) = x.k", "SELECT t.w, x.k, CAST(s.i AS INTEGER) AS i, length(x.k) AS n FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]+')) AS w FROM documents) t, unnest(generate_series(1, length(t.w))) AS s(i), (VALUES ('the'), ('tion'), ('er'), ('ing')) AS x(k) WHERE substring(t.w, s.i, length(x.k)) = x.k"),
     "gap_penalty": ("SELECT user_id, sum(cast(least(gap, 1000) AS bigint)) AS penalty FROM (SELECT user_id, (unix_seconds(cast(ts AS timestamp)) - unix_seconds(lag(cast(ts AS timestamp)) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS gap FROM {events}) t WHERE gap IS NOT NULL GROUP BY user_id", "SELECT user_id, CAST(sum(least(gap, 1000)) AS BIGINT) AS penalty FROM (SELECT user_id, (CAST(floor(epoch(ts)) AS BIGINT) - CAST(floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) AS BIGINT)) AS gap FROM events) t WHERE gap IS NOT NULL GROUP BY user_id"),
 }
 

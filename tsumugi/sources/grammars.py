@@ -14,9 +14,7 @@ SCHEMA = "id string, level string, description string, formation string, priorit
 
 def grammars(spark: SparkSession, folder: str, level: str | None = None) -> DataFrame:
     """The definitions of all levels below ``folder``, or of one; ``pattern`` is JSON text."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder)
-    fields = F.from_json("value", SCHEMA)
-    rows = files.select(fields.alias("g"), "value").select("g.*")
+    rows = spark.read.schema(SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(folder)
     return rows.filter(F.col("id").isNotNull() & (F.lit(True) if level is None else F.col("level") == level))
 
 

@@ -437,11 +437,13 @@ def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") ->
     none of them along, and of rows that repeat both, one stays.  Rows with a null id, and those
     without shingles, stand for themselves and stay.
     """
-    hashed = docs.withColumn("__hash", F.xxhash64(F.col(text)))
+    # a document's own columns travel in one, so their names clash with none used here
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(key).alias("id"), F.col(text).alias("body"))
+    hashed = packed.withColumn("hash", F.xxhash64("body"))
     # null where the id is null; both fields nullable, as in the batches that come back
-    held = F.col(key).isNotNull()
-    named = hashed.select(F.when(held, F.struct(F.col(key).alias("id"), F.when(held, F.col("__hash")).alias("hash"))).alias("row"), F.col(text).alias("body"))
-    found = components_of(named, key="row", text="body").filter((F.col("n_shingles") > 0) & F.col("row").isNotNull() & (F.col("row") != F.col("component_id"))).select(F.col("row.id").alias("__key"), F.col("row.hash").alias("__copy")).distinct()
-    kept = hashed.join(found, (hashed[key] == found["__key"]) & (hashed["__hash"] == found["__copy"]), "left_anti")
-    first = F.expr(f"row_number() over (partition by `{key}`, __hash order by __hash)")
-    return kept.withColumn("__n", first).filter((F.col("__n") == 1) | F.col(key).isNull()).select(*docs.columns)
+    held = F.col("id").isNotNull()
+    named = hashed.select(F.when(held, F.struct("id", F.when(held, F.col("hash")).alias("hash"))).alias("row"), "body")
+    found = components_of(named, key="row", text="body").filter((F.col("n_shingles") > 0) & F.col("row").isNotNull() & (F.col("row") != F.col("component_id"))).select(F.col("row.id").alias("gone"), F.col("row.hash").alias("copy")).distinct()
+    kept = hashed.join(found, (hashed["id"] == found["gone"]) & (hashed["hash"] == found["copy"]), "left_anti")
+    first = F.expr("row_number() over (partition by id, hash order by hash)")
+    return kept.withColumn("n", first).filter((F.col("n") == 1) | F.col("id").isNull()).select("doc.*")

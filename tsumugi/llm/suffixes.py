@@ -553,7 +553,7 @@ def deduplicated(docs: DataFrame, *, key: str = "doc_id", text: str = "text", le
     All columns of ``docs`` are kept; ``text`` alone changes, and a null stays null.
     """
     others = [c for c in docs.columns if c != text]
-    packed = docs.select(F.struct(*others, F.col(text).isNull().alias("__null")).alias("key"), text)
-    out = removed_rows(packed, key="key", text=text, length=length, keep_text=True)
-    body = F.when(~F.col("key.__null"), F.col("kept")).alias(text)
-    return out.select(*[body if c == text else F.col(f"key.`{c}`").alias(c) for c in docs.columns])
+    packed = docs.select(F.struct(F.struct(*[F.col(f"`{c}`") for c in others]).alias("own"), F.col(text).isNull().alias("none")).alias("key"), F.col(text).alias("body"))
+    out = removed_rows(packed, key="key", text="body", length=length, keep_text=True)
+    body = F.when(~F.col("key.none"), F.col("kept")).alias(text)
+    return out.select(*[body if c == text else F.col(f"key.own.`{c}`").alias(c) for c in docs.columns])

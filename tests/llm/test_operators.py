@@ -115,7 +115,7 @@ def brute_components(rows):
     for i, s in sets.items():
         for x in s:
             where[x].append(i)
-    pairs = {(a, b) for v in where.values() if len(v) < 200 for k, a in enumerate(v) for b in v[k + 1 :]}
+    pairs = {(a, b) for v in where.values() for k, a in enumerate(v) for b in v[k + 1 :]}
     for a, b in pairs:
         both = len(sets[a] & sets[b])
         if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
@@ -172,6 +172,34 @@ def test_jaccard_frequent_tokens(spark, monkeypatch):
         assert len(rows) == len(texts)
 
 
+def test_jaccard_frequent_class(spark, monkeypatch):
+    """The whole operator where nearly all shingles count as frequent, against all pairs."""
+    rng = np.random.default_rng(9)
+    base = [[f"g{g}w{i}" for i in range(40)] for g in range(4)]
+    texts = []
+    for _ in range(90):
+        words = list(base[rng.integers(4)])
+        for _ in range(rng.integers(0, 4)):
+            words[rng.integers(len(words))] = f"e{rng.integers(5)}"
+        texts.append(" ".join(words[: rng.integers(25, 40)]))
+    monkeypatch.setattr(jaccard, "RARE", 2)
+    got = held_components(docs_of(spark, texts))
+    assert [got[i] for i in range(len(texts))] == brute_components(list(enumerate(texts)))
+
+
+def test_clashing_columns(spark):
+    """Stages keep columns that bear the names which operators use inside."""
+    names = "doc_id long, text string, __hash int, __key int, __n int, __null int, doc int, id int, body int, hash int, own int, key int, n int, gone int, copy int, row int"
+    words = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, t, *range(14)) for i, t in enumerate([words, words + " x", "other text", None])]
+    docs = spark.createDataFrame(rows, names)
+    one = jaccard.one_of_each(docs)
+    assert one.columns == docs.columns and sorted(r["doc_id"] for r in one.collect()) == [0, 2, 3]
+    cut = suffixes.deduplicated(docs)
+    assert cut.columns == docs.columns and {r["doc_id"]: r["text"] for r in cut.collect()} == {0: "", 1: " x", 2: "other text", 3: None}
+    assert all(tuple(r)[2:] == tuple(range(14)) for r in [*one.collect(), *cut.collect()])
+
+
 @pytest.mark.parametrize("dense", [0, 2, 10**6])
 def test_jaccard_blocks(spark, monkeypatch, dense):
     """Groups dealt over several blocks: links are those of all pairs between components."""

@@ -225,6 +225,59 @@ def test_jaccard_blocks(spark, monkeypatch, dense):
     assert {pair(r["a"], r["b"]) for r in got} == want and want
 
 
+def written_rows(monkeypatch) -> dict[str, list]:
+    """What ``jaccard`` writes from now on, by label."""
+    kept, write = {}, jaccard.written
+
+    def seen(df, label):
+        out, path = write(df, label)
+        kept.setdefault(label, []).extend(out.collect())
+        return out, path
+
+    monkeypatch.setattr(jaccard, "written", seen)
+    return kept
+
+
+def test_jaccard_bands(spark, monkeypatch):
+    """A block holds sets of fitting sizes only, and no link between two bands is lost."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    size = dict(enumerate([*range(1, 41), 53, 54, 71, 72, 95, 96, 127, 128]))
+    held = spark.createDataFrame([(k, n, np.arange(n, dtype="<u8").tobytes()) for k, n in size.items()], "set_key long, n long, hashes binary")
+    lists = spark.createDataFrame([(7, k, n, 1, k) for k, n in size.items()], "token long, set_key long, n long, role int, c long")
+    kept = written_rows(monkeypatch)
+    got = {(min(r), max(r)) for r in jaccard.linked_blocks(lists, held, jaccard.sketched(held)).collect()}
+    assert got == {(a, b) for a in size for b in size if a < b and 100 * size[a] >= 75 * size[b]}
+    blocks: dict[str, list[int]] = {}
+    for r in kept["jaccard-blocks"]:
+        blocks.setdefault(r["own"], []).append(size[r["set_key"]])
+    assert all(100 * min(x) >= 75 * max(x) for x in blocks.values())
+
+
+def test_jaccard_short_lists(spark, monkeypatch):
+    """Chains, whose lists join many sets into one group: short lists make pairs and no blocks."""
+    texts = [" ".join(f"c{c}w{j}" for j in range(5 * i, 5 * i + 60)) for c in range(3) for i in range(40)]
+    compare, blocked = jaccard.linked_blocks, []
+
+    def seen(lists, *rest):
+        blocked.append(lists.count())
+        return compare(lists, *rest)
+
+    monkeypatch.setattr(jaccard, "linked_blocks", seen)
+    found = held_components(docs_of(spark, texts))
+    assert {c for _, c in found.values()} == {0, 40, 80} and blocked == [0]
+    monkeypatch.setattr(jaccard, "SHORT", 0)
+    assert held_components(docs_of(spark, texts)) == found and blocked[1] > 0
+
+
+def test_jaccard_copies_known_once(spark, monkeypatch):
+    """Copies in all partitions: the set is kept by none, as its shingles are in no other set."""
+    texts = [" ".join(f"t{i}w{j}" for j in range(20)) for i in range(30)]
+    kept = written_rows(monkeypatch)
+    found = held_components(docs_of(spark, texts * 6).repartition(6, "doc_id"))
+    assert all(found[i] == (16, i % 30) for i in range(180))
+    assert [r for r in kept["jaccard-sets"] if r["kind"] == 1] == []
+
+
 def test_one_of_each(spark):
     texts = edge_texts(spark)
     kept = sorted(r["doc_id"] for r in jaccard.one_of_each(docs_of(spark, texts)).collect())

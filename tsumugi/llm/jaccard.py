@@ -12,8 +12,9 @@ intersection is at least ``PERCENT`` percent of the union; the result is exact.
     shared one is frequent, all shared ones are, so the frequent shingles of the prefix extended
     by ``k = 2`` are indexed in pairs; a set with more than ``COMBINED`` of them indexes them
     singly, and then the others' single ones only probe for such sets.
-3.  Each list's first set is compared with the others (dense groups connect so); what lists still
-    hold of different components is compared in blocks.  Comparisons are exact.
+3.  Each list's first set is compared with the others (dense groups connect so).  What lists of up
+    to ``SHORT`` sets still hold of different components is paired within the list, so pairs grow
+    with the input; longer lists are compared in blocks.  Comparisons are exact.
 4.  Components of the verified links are found on set keys; equal sets are one from the start.
 
 Shingles and sets are known by 64-bit hashes throughout.
@@ -35,17 +36,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tsumugi.llm.common import BLANK_WORDS, byte_words, chunked, drop_path, expand, lean, looked_up, mix, small_batches, squeeze, task_width, total_bytes, unpack_rows, written
+from tsumugi.llm.common import BLANK_WORDS, HOT_KEYS, byte_words, chunked, drop_path, expand, free_shuffles, lean, looked_up, mix, small_batches, squeeze, task_width, total_bytes, unpack_rows, written
 from tsumugi.llm.urls import components
 
 WORDS, PERCENT = 5, 75
 RARE, COMBINED = 64, 40
+#: Lists of so many sets are paired one by one, longer ones in blocks.
+SHORT = 64
 #: Sets of a block, and shingles counted at once.
 BLOCK, COLUMNS = 256, 4096
 #: From so many pairs a set on, a block pair is compared as a whole.
 DENSE = 2
 LIKELY = pa.schema([("block", pa.string()), ("block2", pa.string()), ("side", pa.int32()), ("c", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
-CHUNK_BYTES, RANGE_BYTES = 2 << 20, 8 << 20
+CHUNK_BYTES, RANGE_BYTES, DEAL_BYTES = 2 << 20, 8 << 20, 16 << 20
+#: Rows from which a text's copies may be dealt apart.
+MANY_COPIES = 100
 PAIR_SALT, SINGLE_SALT = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -143,6 +148,19 @@ def prefix_entries(hashes: np.ndarray, classes: np.ndarray, n: int) -> list[tupl
     return out
 
 
+def by_text(rows: DataFrame, tasks: int) -> DataFrame:
+    """``rows`` (key, body) with equal texts side by side, so that a chunk knows their set once.
+
+    Else each chunk with a copy would count, send and keep it anew.  A text with more than a
+    thousandth of all rows is dealt out by key and known once a task.
+    """
+    hashed = rows.withColumn("h", F.xxhash64("body"))
+    many = hashed.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > max(rows.count() // HOT_KEYS, MANY_COPIES)).select(F.col("h").alias("many"))
+    away = F.when(F.col("many").isNotNull(), F.xxhash64("key")).otherwise(F.lit(0).cast("long"))
+    marked = hashed.join(F.broadcast(many), F.col("h") == F.col("many"), "left").withColumn("away", away)
+    return marked.repartition(tasks, "h", "away").sortWithinPartitions("h").select("key", "body")
+
+
 def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_shingles, component_id, one row per document."""
     spark = docs.sparkSession
@@ -151,7 +169,8 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     bits, width = max(6, math.ceil(math.log2(max(1, size / RANGE_BYTES)))), task_width(spark, size)
     source = docs.select(F.col(key).alias("key"), F.col(text).alias("body"))
     kind = source.schema["key"].dataType.simpleString()
-    chunks, chunk_path = chunked(source, CHUNK_BYTES, "jaccard-chunks")
+    chunks, chunk_path = chunked(by_text(source, max(4, -(-size // DEAL_BYTES))), CHUNK_BYTES, "jaccard-chunks")
+    free_shuffles(spark)
 
     def ranges(hashes: np.ndarray):
         starts = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
@@ -211,8 +230,9 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
                 n = len(own)
                 yield pa.RecordBatch.from_arrays([pa.array([1] * n, pa.int32()), pa.nulls(n, rows.column("key").type), pa.array([o[1] for o in own], pa.int64()), pa.array([o[0] for o in own], pa.int64()), pa.array([o[2] for o in own], pa.binary()), pa.array([o[3] for o in own], pa.binary())], names=names)
 
-    found, _ = written(both.mapInArrow(lean(survivors), f"kind int, key {kind}, n long, set_key long, hashes binary, classes binary"), "jaccard-sets")
+    found, found_path = written(both.mapInArrow(lean(survivors), f"kind int, key {kind}, n long, set_key long, hashes binary, classes binary"), "jaccard-sets")
     drop_path(spark, chunk_path)
+    free_shuffles(spark)
     rows = found.filter("kind = 0").select("key", "n", "set_key")
     # a set of several chunks is the same in each, classes included
     sets = found.filter("kind = 1").select("set_key", "n", "hashes", "classes")
@@ -234,27 +254,43 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     sizes = posted.select("set_key", "n").distinct()
     led = posted.join(lists, "token").filter("set_key <> lead").select("lead", "set_key", "n").distinct()
     led = led.join(sizes.select(F.col("set_key").alias("lead"), F.col("n").alias("m")), "lead").filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * PERCENT).select(F.col("lead").alias("a"), F.col("set_key").alias("b"))
-    single, _ = written(sets.select("set_key", "n", "hashes").dropDuplicates(["set_key"]), "jaccard-distinct")
-    sketches, _ = written(sketched(single), "jaccard-sketches")
-    led, _ = written(not_ruled_out(led, sketches), "jaccard-likely")
-    first, _ = written(verified(led, single), "jaccard-links")
+    single, single_path = written(sets.select("set_key", "n", "hashes").dropDuplicates(["set_key"]), "jaccard-distinct")
+    sketches, sketch_path = written(sketched(single), "jaccard-sketches")
+    led, led_path = written(not_ruled_out(led, sketches), "jaccard-likely")
+    first, first_path = written(verified(led, single), "jaccard-links")
+    drop_path(spark, led_path)
+    free_shuffles(spark)
     groups = components(first, src="a", dst="b")
     # lists without a role 1 pair nothing
     named = posted.join(lists, "token").join(groups, posted.set_key == groups.node, "left").select("token", "set_key", "n", "role", F.coalesce("component", "set_key").alias("c"))
-    open_ = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
-    rest, _ = written(named.join(open_, "token", "left_semi"), "jaccard-open")
-    across = linked_blocks(rest, single, sketches, width)
-    second, _ = written(across, "jaccard-links")
+    open_ = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("held")).filter("c0 <> c1").select("token", "held")
+    rest, rest_path = written(named.join(open_, "token"), "jaccard-open")
     drop_path(spark, posted_path)
+    close, close_path = written(not_ruled_out(list_pairs(rest.filter(F.col("held") <= SHORT)), sketches), "jaccard-likely")
+    across, across_path = written(verified(close, single), "jaccard-links")
+    free_shuffles(spark)
+    blocks, block_path = written(linked_blocks(rest.filter(F.col("held") > SHORT), single, sketches, width), "jaccard-links")
+    second = across.unionByName(blocks)
     groups = components(first.unionByName(second), src="a", dst="b") if not second.isEmpty() else groups
-    groups, _ = written(groups, "jaccard-groups")
+    groups, groups_path = written(groups, "jaccard-groups")
     joined = rows.join(groups, rows.set_key == groups.node, "left").select("key", "n", F.coalesce("component", "set_key").alias("g"))
     joined, _ = written(joined, "jaccard-rows")
+    for path in (found_path, single_path, sketch_path, first_path, rest_path, close_path, across_path, block_path, groups_path):
+        drop_path(spark, path)
+    free_shuffles(spark)
     least, _ = written(joined.filter("g is not null").groupBy("g").agg(F.min("key").alias("component_id"), F.count(F.lit(1)).alias("members")), "jaccard-least")
     out = looked_up(joined, least, "g", "members", "key")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("g").isNull(), F.col("key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def list_pairs(lists: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets of different components ``c`` that share a list and fit in size."""
+    side = lambda x: lists.select("token", F.col("set_key").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "role", "c")])
+    a, b = side("a"), side("b")
+    fit = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    return a.join(b, (a["token"] == b["token"]) & (F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & (F.greatest("role_a", "role_b") == 1) & fit).select("a", "b").distinct()
+
+
 def linked_blocks(lists: DataFrame, sets: DataFrame, sketches: DataFrame, width: int = 24) -> DataFrame:
     """Links (a, b) between sets of different components ``c`` that share a list.
 
@@ -262,24 +298,26 @@ def linked_blocks(lists: DataFrame, sets: DataFrame, sketches: DataFrame, width:
     component has blocks of its own, sets with the same first neighbour stay together.  Two blocks
     that share a list and hold several components are compared at once: first by bitmaps, which
     bound what two sets can share; then the few pairs left are compared one by one, or, where
-    many are left, the blocks' sets together, by counting shared shingles.
+    many are left, the blocks' sets together, by counting shared shingles.  A block holds sets of
+    one band of sizes and meets those of its own and the next bands only: others can't link.
     """
     ends = lists.groupBy("token").agg(F.min("set_key").alias("lead"))
     stars = lists.join(ends, "token").select(F.col("lead").alias("a"), F.col("set_key").alias("b")).distinct()
     stars, _ = written(stars, "jaccard-stars")
     groups = components(stars, src="a", dst="b").select(F.col("node").alias("set_key"), F.col("component").alias("k"))
     near = stars.groupBy(F.col("b").alias("set_key")).agg(F.min("a").alias("lead"))
-    own = lists.select("set_key", "c").distinct().join(groups, "set_key").join(near, "set_key")
-    sizes = own.groupBy("k", "c").agg(F.count(F.lit(1)).alias("size"))
+    band = F.floor(F.log("n") / math.log(100 / PERCENT)).alias("band")
+    own = lists.select("set_key", "c", band).distinct().join(groups, "set_key").join(near, "set_key")
+    sizes = own.groupBy("k", "band", "c").agg(F.count(F.lit(1)).alias("size"))
     small = F.col("size") < BLOCK // 2
-    pools = sizes.groupBy("k").agg(F.ceil(F.sum(F.when(small, F.col("size")).otherwise(0)) / BLOCK).cast("int").alias("pools"))
-    placed = own.join(sizes, ["k", "c"]).join(pools, "k")
-    pool = F.concat(F.col("k").cast("string"), F.lit(" "), F.pmod(F.xxhash64("lead"), F.greatest(F.lit(1), "pools")).cast("string"))
-    part = F.concat(F.col("k").cast("string"), F.lit(" "), F.col("c").cast("string"), F.lit(" "), F.pmod(F.xxhash64("set_key"), F.ceil(F.col("size") / BLOCK)).cast("string"))
-    placed, _ = written(placed.select("c", "set_key", F.when(small, pool).otherwise(part).alias("own"), F.when(small, F.lit("")).otherwise(F.col("c").cast("string")).alias("whole")), "jaccard-blocks")
-    met = lists.select("token", "set_key").join(placed, "set_key").groupBy("token").agg(F.array_sort(F.collect_set(F.struct("own", "whole"))).alias("m")).select("m").distinct()
+    pools = sizes.groupBy("k", "band").agg(F.ceil(F.sum(F.when(small, F.col("size")).otherwise(0)) / BLOCK).cast("int").alias("pools"))
+    placed = own.join(sizes, ["k", "band", "c"]).join(pools, ["k", "band"])
+    pool = F.concat(F.col("k").cast("string"), F.lit(" "), F.col("band").cast("string"), F.lit(" "), F.pmod(F.xxhash64("lead"), F.greatest(F.lit(1), "pools")).cast("string"))
+    part = F.concat(F.col("k").cast("string"), F.lit(" "), F.col("band").cast("string"), F.lit(" "), F.col("c").cast("string"), F.lit(" "), F.pmod(F.xxhash64("set_key"), F.ceil(F.col("size") / BLOCK)).cast("string"))
+    placed, _ = written(placed.select("c", "set_key", "band", F.when(small, pool).otherwise(part).alias("own"), F.when(small, F.lit("")).otherwise(F.col("c").cast("string")).alias("whole")), "jaccard-blocks")
+    met = lists.select("token", "set_key").join(placed, "set_key").groupBy("token").agg(F.array_sort(F.collect_set(F.struct("own", "whole", "band"))).alias("m")).select("m").distinct()
     # blocks of one large component need no comparison
-    both = F.expr("flatten(transform(m, x -> transform(filter(m, y -> x.own <= y.own and (x.whole <> y.whole or x.whole = '')), y -> struct(x.own as block, y.own as block2))))")
+    both = F.expr("flatten(transform(m, x -> transform(filter(m, y -> x.own <= y.own and abs(x.band - y.band) <= 1 and (x.whole <> y.whole or x.whole = '')), y -> struct(x.own as block, y.own as block2))))")
     pairs = met.select(F.explode(both).alias("p")).select("p.*").distinct()
     sides = pairs.select(F.col("block").alias("own"), "block", "block2", F.lit(0).alias("side")).unionByName(pairs.filter("block <> block2").select(F.col("block2").alias("own"), "block", "block2", F.lit(1).alias("side")))
     rows = placed.select("own", "c", "set_key").join(sketches, "set_key").join(sides, "own").select("block", "block2", "side", "c", "set_key", "n", "shared", "marks")

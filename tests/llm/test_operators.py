@@ -269,6 +269,30 @@ def test_jaccard_short_lists(spark, monkeypatch):
     assert held_components(docs_of(spark, texts)) == found and blocked[1] > 0
 
 
+def test_jaccard_long_lists(spark, monkeypatch):
+    """Near copies that share hundreds of long lists: each goes to the blocks a few times, not once a list."""
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(jaccard, "RARE", 4)
+    monkeypatch.setattr(jaccard, "SHORT", 8)
+    base, texts = [f"w{j}" for j in range(120)], []
+    for i in range(60):
+        own = list(base)
+        for j in rng.choice(120, int(rng.integers(2, 6)), replace=False):
+            own[j] = f"x{i}y{j}"
+        texts.append(" ".join(own))
+    compare, blocked = jaccard.linked_blocks, []
+
+    def seen(lists, *rest):
+        blocked.append((lists.count(), lists.select("set_key").distinct().count()))
+        return compare(lists, *rest)
+
+    monkeypatch.setattr(jaccard, "linked_blocks", seen)
+    want = brute_components(list(enumerate(texts)))
+    assert held_components(docs_of(spark, texts)) == dict(enumerate(want)) and len(set(want)) > 2
+    [(rows, sets)] = blocked
+    assert 20 < sets and rows < 8 * sets
+
+
 def test_jaccard_copies_known_once(spark, monkeypatch):
     """Copies in all partitions: the set is kept by none, as its shingles are in no other set."""
     texts = [" ".join(f"t{i}w{j}" for j in range(20)) for i in range(30)]

@@ -14,7 +14,8 @@ intersection is at least ``PERCENT`` percent of the union; the result is exact.
     singly, and then the others' single ones only probe for such sets.
 3.  Each list's first set is compared with the others (dense groups connect so).  What lists of up
     to ``SHORT`` sets still hold of different components is paired within the list, so pairs grow
-    with the input; longer lists are compared in blocks.  Comparisons are exact.
+    with the input; longer lists are joined to one for each smallest set, as near copies share
+    hundreds, and compared in blocks.  Comparisons are exact.
 4.  Components of the verified links are found on set keys; equal sets are one from the start.
 
 Shingles and sets are known by 64-bit hashes throughout.
@@ -263,19 +264,21 @@ def components_of(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -
     groups = components(first, src="a", dst="b")
     # lists without a role 1 pair nothing
     named = posted.join(lists, "token").join(groups, posted.set_key == groups.node, "left").select("token", "set_key", "n", "role", F.coalesce("component", "set_key").alias("c"))
-    open_ = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("held")).filter("c0 <> c1").select("token", "held")
+    open_ = named.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("held"), F.min("set_key").alias("least")).filter("c0 <> c1").select("token", "held", "least")
     rest, rest_path = written(named.join(open_, "token"), "jaccard-open")
     drop_path(spark, posted_path)
     close, close_path = written(not_ruled_out(list_pairs(rest.filter(F.col("held") <= SHORT)), sketches), "jaccard-likely")
     across, across_path = written(verified(close, single), "jaccard-links")
     free_shuffles(spark)
-    blocks, block_path = written(linked_blocks(rest.filter(F.col("held") > SHORT), single, sketches, width), "jaccard-links")
+    # a set has a row for each smallest set it shares a list with, not for each list
+    long_, long_path = written(rest.filter(F.col("held") > SHORT).select(F.col("least").alias("token"), "set_key", "n", "c").distinct(), "jaccard-long")
+    blocks, block_path = written(linked_blocks(long_, single, sketches, width), "jaccard-links")
     second = across.unionByName(blocks)
     groups = components(first.unionByName(second), src="a", dst="b") if not second.isEmpty() else groups
     groups, groups_path = written(groups, "jaccard-groups")
     joined = rows.join(groups, rows.set_key == groups.node, "left").select("key", "n", F.coalesce("component", "set_key").alias("g"))
     joined, _ = written(joined, "jaccard-rows")
-    for path in (found_path, single_path, sketch_path, first_path, rest_path, close_path, across_path, block_path, groups_path):
+    for path in (found_path, single_path, sketch_path, first_path, rest_path, close_path, across_path, long_path, block_path, groups_path):
         drop_path(spark, path)
     free_shuffles(spark)
     least, _ = written(joined.filter("g is not null").groupBy("g").agg(F.min("key").alias("component_id"), F.count(F.lit(1)).alias("members")), "jaccard-least")

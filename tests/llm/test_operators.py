@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tsumugi.llm import decontaminate, hnsw, jaccard, lattice, lexicon, quality, suffixes, token_counts, urls, warc
+from tsumugi.llm import common, decontaminate, hnsw, jaccard, lattice, lexicon, quality, suffixes, token_counts, urls, warc
 from tsumugi.llm.common import public_tokenizer
 from tsumugi.llm.queries import ORACLES, QUERIES
 
@@ -302,6 +303,20 @@ def test_jaccard_copies_known_once(spark, monkeypatch):
     assert [r for r in kept["jaccard-sets"] if r["kind"] == 1] == []
 
 
+def test_written_leaves_no_shuffle_files(spark, monkeypatch, tmp_path):
+    """Else they lie on the disk until the driver happens to collect garbage."""
+    monkeypatch.setattr(common, "scratch", lambda _, label: f"file://{tmp_path}/{label}")
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for f in str(files.getAllFiles().mkString(" ")).split() if "shuffle_" in f}
+    there, rows = shuffles(), spark.range(1000).repartition(3, "id")
+    out, _ = common.written(rows, "rows")
+    end = time.time() + 10
+    while shuffles() - there and time.time() < end:
+        time.sleep(0.1)
+    assert not shuffles() - there and out.count() == rows.count() == 1000
+    assert spark.conf.get(common.CLEANUP) == "false"
+
+
 def test_one_of_each(spark):
     texts = edge_texts(spark)
     kept = sorted(r["doc_id"] for r in jaccard.one_of_each(docs_of(spark, texts)).collect())

@@ -108,3 +108,47 @@ def test_sentence_split_whole(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in QUERIES["sentence_split"](spark, str(tmp_path)).select("doc_id", "i", "s").collect())
     assert got == sorted((d, i, s) for d, t in texts for i, s in enumerate(re.findall(r"[^.!?]+[.!?]?", t or "")))
+
+
+def most_memory(spark, group):
+    """MB of execution memory of the task that took most, over the jobs of a group."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    store, tracker = context._jsc.sc().statusStore(), context.statusTracker()
+    last = context._gateway.new_array(context._jvm.double, 1)
+    last[0] = 1.0
+    stages = {s for job in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(job).stageIds}
+    found = [x.get().peakExecutionMemory().apply(0) for x in (store.taskSummary(s, 0, last) for s in stages) if x.isDefined()]
+    return max(found) / 1e6
+
+
+def test_char_usage_memory(spark, tmp_path):
+    """A file of one row group is read by one task; what is met of each key must not be held by one."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = 300_000
+    pq.write_table(pa.table({"p_partkey": range(n), "p_name": ["ab 1é かき犬"] * n}), f"{tmp_path}/part.parquet", row_group_size=n)
+    spark.sparkContext.setJobGroup("char usage", "")
+    try:
+        got = {r["c"]: r["n"] for r in QUERIES["char_usage_distinct"](spark, str(tmp_path)).collect()}
+    finally:
+        for name in ("spark.jobGroup.id", "spark.job.description"):
+            spark.sparkContext.setLocalProperty(name, None)
+    assert got == dict.fromkeys("ab 1éかき犬", n)
+    assert most_memory(spark, "char usage") < 100
+
+
+def test_char_usage_odd(spark, tmp_path):
+    """Repeated and null keys, several names of a key, characters of one to four bytes and at the ends of their ranges."""
+    import duckdb
+
+    ends = "\x00\x01?@\x7f\x80\xbf\xc0߿ࠀ﻿￿\U00010000\U0010ffff"
+    rows = [(1, "aab"), (1, "bc"), (1, "aab"), (2, "a\n é"), (2, None), (3, ""), (None, "az"), (None, "𠮷"), (-5, "犬𠮟犬é"), (4, ends), (2**63 - 1, ends[::-1]), *[(7, "hot")] * 500]
+    spark.createDataFrame(rows, "p_partkey long, p_name string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((r["c"], r["n"]) for r in QUERIES["char_usage_distinct"](spark, str(tmp_path)).collect())
+    assert got == sorted((c, len({k for k, t in rows if c in (t or "") and k is not None})) for c in {c for _, t in rows for c in t or ""})
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    want = con.sql(ORACLES["char_usage_distinct"]).fetchall()
+    assert got == sorted(want)

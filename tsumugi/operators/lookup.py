@@ -180,10 +180,25 @@ def words_with_kanji(char: str, entry: DataFrame, readings: DataFrame, best: Dat
     return spelled.join(best.select("seq", "text", F.col("best").alias("reading")), ["seq", "text"]).select("seq", "text", "reading", "common")
 
 
+def char_usage(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(c, n): the number of different ``key`` whose ``text`` has the character; a null key is none.
+
+    A task holds what it has met of each key in memory.  So the rows are dealt out first, each by a number of its own:
+    else one task would meet all of a large row group, or all rows of a frequent key.  And a character takes one bit of
+    a key: its bytes are read as a number, and 64 numbers in a row share one word of bits.
+    """
+    dealt = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row")).repartition("row")
+    met = dealt.select("key", F.explode(F.split("text", "")).alias("c")).filter("c <> ''").select("key", F.conv(F.hex("c"), 16, 10).cast("long").alias("v"))
+    held = met.groupBy("key", F.shiftright("v", 6).alias("block")).agg(F.bit_or(F.expr("shiftleft(1L, cast(v % 64 as int))")).alias("bits"))
+    each = held.select("key", "block", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit("bits", i) == 1)).alias("bit"))
+    counts = each.groupBy("block", "bit").agg(F.count("key").alias("n"))
+    return counts.select(F.unhex(F.hex(F.col("block") * 64 + F.col("bit"))).cast("string").alias("c"), "n")
+
+
 def kanji_usage(readings: DataFrame) -> DataFrame:
     """(kanji, words): entries with a common spelling that has the character, each counted once."""
-    chars = readings.filter("script = 'kanji' and common is not null").select("seq", F.explode(F.split("text", "")).alias("kanji"))
-    return chars.filter(F.col("kanji").rlike(f"^[{CLASSES['kanji-char']}]$")).groupBy("kanji").agg(F.countDistinct("seq").alias("words"))
+    used = char_usage(readings.filter("script = 'kanji' and common is not null"), "seq", "text")
+    return used.filter(F.col("c").rlike(f"^[{CLASSES['kanji-char']}]$")).select(F.col("c").alias("kanji"), F.col("n").alias("words"))
 
 
 def reading_usage(kanji_readings: DataFrame, usage: DataFrame) -> DataFrame:
